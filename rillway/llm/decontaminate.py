@@ -87,18 +87,17 @@ class Items:
         all_ = np.concatenate(g) if g else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(g)), [len(x) for x in g])
         pos = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
-        by = np.argsort(all_, kind="stable")
-        self.item, self.pos = item[by], pos[by]
-        self.values, self.first = np.unique(all_[by], return_index=True)
-        self.count = np.diff(np.append(self.first, len(all_)))
+        self.values, gram = np.unique(all_, return_inverse=True)
         self.map = np.zeros(1 << _BITS, bool)
         self.map[self._slot(self.values)] = True
-        # classes of items of about one length share a running sum
+        # classes of items of about one length share a running sum, and have their own postings
         self.classes = []
-        if len(g):
-            order = np.argsort(self.len)
-            for part in np.array_split(order, min(4, len(order))):
-                self.classes.append((int((self.len + self.budget)[part].max()), int(self.need[part].min())))
+        order = np.argsort(self.len)
+        for part in np.array_split(order, min(6, len(order))) if len(order) else []:
+            rows = np.flatnonzero(np.isin(item, part))
+            rows = rows[np.argsort(gram[rows], kind="stable")]
+            count = np.bincount(gram[rows], minlength=len(self.values))
+            self.classes.append((int((self.len + self.budget)[part].max()), int(self.need[part].min()), item[rows], pos[rows], np.cumsum(count) - count, count))
 
     @staticmethod
     def _slot(g: np.ndarray) -> np.ndarray:
@@ -117,47 +116,47 @@ class Items:
         k[k == len(self.values)] = 0
         ok = self.values[k] == g[at]
         at, k = at[ok], k[ok]
-        # 1. enough q-grams of any items in a stretch
-        keep = np.zeros(len(at), bool)
-        for width, need in self.classes:
-            ahead = np.searchsorted(at, at + width - Q + 1) - np.arange(len(at))
-            starts = np.flatnonzero(ahead >= need)
-            cover = np.zeros(len(at) + 1, np.int64)
-            np.add.at(cover, starts, 1)
-            np.add.at(cover, starts + ahead[starts], -1)
-            keep |= np.cumsum(cover[:-1]) > 0
-        at, k = at[keep], k[keep]
-        if not len(at):
-            return
         ends = np.cumsum([len(t) + 1 for t in texts])
         begins = np.concatenate([[0], ends[:-1]])
-        for part in np.array_split(np.arange(len(at)), 1 + int(self.count[k].sum()) // 4_000_000):
-            yield from self._bands(buf, at, k, part, begins, ends)
-
-    def _bands(self, buf, at, k, part, begins, ends):
-        if len(part) < len(at):  # a slice of a large block: with what an item before it can reach
-            reach = int((self.len + self.budget).max())
-            part = np.arange(max(0, np.searchsorted(at, at[part[0]] - reach)), part[-1] + 1)
-        at, k = at[part], k[part]
-        n = self.count[k]
+        best: dict[tuple[int, int], int] = {}
+        for width, need, *posts in self.classes:
+            # 1. enough q-grams of any items in a stretch
+            ahead = np.searchsorted(at, at + width - Q + 1) - np.arange(len(at))
+            starts = np.flatnonzero(ahead >= need)
+            cover = np.bincount(starts, minlength=len(at) + 1) - np.bincount(starts + ahead[starts], minlength=len(at) + 1)
+            keep = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+            keep = keep[posts[3][k[keep]] > 0]
+            if not len(keep):
+                continue
+            for part in np.array_split(keep, 1 + int(posts[3][k[keep]].sum()) // 4_000_000):
+                if len(part) < len(keep):  # a slice: with what an item before it can reach
+                    part = keep[np.searchsorted(at[keep], at[part[0]] - width) : np.searchsorted(keep, part[-1], "right")]
+                self._bands(buf, at[part], k[part], posts, begins, ends, best)
+        for (doc, it), d in best.items():
+            yield doc, it, d
+
+    def _bands(self, buf, at, k, posts, begins, ends, best):
+        items, places, first, counts = posts
+        n = counts[k]
         p = np.repeat(at, n)
-        row = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, pos = self.item[row], self.pos[row]
+        row = np.repeat(first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item, pos = items[row], places[row]
         width = 2 * self.budget[item] + 1
         diag = p - pos + len(buf)  # never negative
+        # 2. bands
         found = []
+        span = np.int64(4 * len(buf) + 8)
         for shift in (0, 1):
-            band = (diag + shift * (width // 2 + 1)) // (width + 1)
-            key = item * (4 * len(buf) + 8) + band
-            by = np.argsort(key, kind="stable")
-            edge = np.flatnonzero(np.diff(key[by], prepend=-1))
+            key = item * span + (diag + shift * (width // 2 + 1)) // (width + 1)
+            by = np.argsort(key)
+            key = key[by]
+            edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             count = np.diff(np.append(edge, len(key)))
             it = item[by[edge]]
             for e in np.flatnonzero(count >= self.need[it]):
                 rows = by[edge[e] : edge[e] + count[e]]
                 found.append((int(it[e]), int(diag[rows].min() - len(buf)), int(diag[rows].max() - len(buf)), int(p[rows].min())))
         # 3. verify
-        best: dict[tuple[int, int], int] = {}
         for it, low, high, where in found:
             doc = int(np.searchsorted(ends, where, "right"))
             budget = int(self.budget[it])
@@ -168,8 +167,6 @@ class Items:
             d = aligned(self.texts[it], buf[a:z], budget)
             if d is not None:
                 best[doc, it] = min(d, best.get((doc, it), d))
-        for (doc, it), d in best.items():
-            yield doc, it, d
 
 
 def _blocks(texts: list[bytes], reach: int) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -208,7 +205,7 @@ def item_slices(bench: DataFrame, id_col: str, text_col: str, max_item_bytes: in
     return [[(r.i, bytes(r.t)) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()] for k in range(n)]
 
 
-def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = 0.1, least: int = 48, max_item_bytes: int = 32 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = 0.08, least: int = 48, max_item_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, item_id, distance of every item that stands in a document with at most edits * length edits."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t"))
 
@@ -229,7 +226,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
     return out
 
 
-def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = 0.1, least: int = 48, max_item_bytes: int = 32 << 20) -> DataFrame:
+def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = 0.08, least: int = 48, max_item_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs that hold no item; no shuffle."""
 
     def keeper(items, at):
