@@ -116,12 +116,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all lower-cased words, and the number of the text each stands in."""
+def words(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all lower-cased words, and the number of the text each stands in.
+
+    With prefixes: a row of hashes for the words and one for their first k bytes of each k, 0 in words of k bytes or less.
+    """
     buf = bytes([SEP]).join(texts).translate(PLAIN)
     a = np.frombuffer(buf, np.uint8)
     if not len(a):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros((1 + len(prefixes), 0) if prefixes else 0, np.uint64), np.zeros(0, np.int64)
     w = np.zeros(len(a) + 2, np.int8)
     w[1:-1] = (a != 32) & (a != SEP)
     step = np.diff(w)
@@ -130,7 +133,16 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(_BYTE[a] * r[: len(a)], out=sums[1:])
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return mixed((sums[e] - sums[s]) * i[s]), np.searchsorted(ends, s, "right")
+    doc = np.searchsorted(ends, s, "right")
+    h = mixed((sums[e] - sums[s]) * i[s])
+    if not prefixes:
+        return h, doc
+    out = np.zeros((1 + len(prefixes), len(s)), np.uint64)
+    out[0] = h
+    for row, k in enumerate(prefixes, 1):
+        at = np.flatnonzero(e - s > k)
+        out[row, at] = mixed((sums[s[at] + k] - sums[s[at]]) * i[s[at]] + np.uint64(k))
+    return out, doc
 
 
 def grouped(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[dict[str, np.ndarray]], list[dict]], schema: str, fields: dict[str, str], parts: int | None = None) -> DataFrame:
