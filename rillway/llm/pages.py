@@ -177,7 +177,10 @@ def extract(html: str, level: float = 0.5) -> str:
         for b, f in zip(blocks, fused):
             best[b[0]] = max(best.get(b[0], 0.0), f)
         most = max(best.values())
-        kept = [b[2] for b in blocks if most > 0 and best[b[0]] >= level * most]
+        top = max(best, key=best.get)
+        # headings and short lists beside content, in the container of the best path, belong to it
+        home = top.rsplit("/", 1)[0] + "/"
+        kept = [b[2] for b in blocks if most > 0 and (best[b[0]] >= level * most or home.count("/") > 3 and b[0].startswith(home))]
     return "\n\n".join(kept)
 
 
