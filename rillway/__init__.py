@@ -1,0 +1,5 @@
+"""rillway: a Spark-native pipe language for analytics and data preparation."""
+
+from .api import Pipeline, Result, codec, compile_dsl, expr, load_recipe, ops, pipeline, recipes, save_recipe  # noqa: F401
+
+__version__ = "0.1.0"

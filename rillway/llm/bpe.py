@@ -27,8 +27,18 @@ from pyspark.sql import functions as F
 from .common import as_bytes, table
 
 _C = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII marks that the tokenizer takes as one piece; without the apostrophe and what special strings hold.
+_MARKS = b'!"#$%&()*+,-./:;=?@[]^_`{}~'
+
+
+def _byte_chars() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    out = {b: chr(b) for r in ((33, 126), (161, 172), (174, 255)) for b in range(r[0], r[1] + 1)}
+    rest = [b for b in range(256) if b not in out]
+    return out | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
 
 
 def default_path() -> str:
@@ -84,6 +94,10 @@ class Coder:
         self.limit = words
         self.chunks = Kept(chunk_bytes)
         self.pieces = [(self.tok.id_to_token(k) or "").encode() for k in range(self.tok.get_vocab_size())]
+        self.marks: dict[bytes, list[int]] = {}
+        self.lower = True
+        probes = [b"Word", b"the,", "\xc9t\xe9!!".encode(), b"and***", "stra\xdfe.".encode()]
+        self.lower = all(self._plain(w) == self.tok.encode(w.decode(), add_special_tokens=False).ids for w in probes) and self.tok.encode("A", add_special_tokens=False).ids == self.tok.encode("a", add_special_tokens=False).ids
         if self.tok.decoder is not None:
             raise ValueError("this reuse needs a tokenizer that decodes by joining tokens with spaces")
 
@@ -97,26 +111,60 @@ class Coder:
                 fresh.append(w)
             else:
                 self.words[w] = v
-        for k in range(0, len(fresh), 4096):
-            part = fresh[k : k + 4096]
+        rest = []
+        for w in fresh:
+            got = self._plain(w) if self.lower else None
+            if got is None:
+                rest.append(w)
+            else:
+                self.words[w] = (np.array(got, "<u4").tobytes(), b" ".join([self.pieces[i] for i in got]))
+        for k in range(0, len(rest), 4096):
+            part = rest[k : k + 4096]
             for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 ids = e.ids
                 self.words[w] = (np.array(ids, "<u4").tobytes(), b" ".join([self.pieces[i] for i in ids]))
 
+    def _plain(self, word: bytes) -> list[int] | None:
+        """Ids of a word of Latin letters and at most some marks behind it, by the merges alone; None for any other.
+
+        Normalizing leaves such letters as they are but for their case, and splitting parts them from the marks.
+        """
+        core = word.rstrip(_MARKS)
+        if core.isalpha():
+            letters = core.lower().decode()
+        else:
+            letters = core.decode().lower()
+            if not letters.isalpha() or max(letters) > "\xff":
+                return None
+            letters = letters.encode().decode("latin-1").translate(_BYTE_CHARS)
+        ids = [t.id for t in self.tok.model.tokenize(letters)]
+        if len(core) < len(word):
+            tail = word[len(core) :]
+            got = self.marks.get(tail)
+            if got is None:
+                got = self.tok.encode(tail.decode(), add_special_tokens=False).ids
+                if len(self.marks) < 10_000:
+                    self.marks[tail] = got
+            ids += got
+        return ids
+
     def _encode_words(self, words: list[bytes]) -> tuple[bytes, bytes]:
-        get = self.words.get
-        found = [get(w) for w in words]
+        if not words:
+            return b"", b""
+        found = list(map(self.words.get, words))
         if None in found:
             self._learn(list({w for w, f in zip(words, found) if f is None}))
             get, old = self.words.get, self.old.get
-            found = [get(w) or old(w) for w in words]
-        return b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])
+            found = [f or get(w) or old(w) for w, f in zip(words, found)]
+        ids, decoded = zip(*found)
+        return b"".join(ids), b" ".join(decoded if b"" not in decoded else filter(None, decoded))
 
     def _chunk(self, chunk: bytes) -> tuple[bytes, bytes, bytes, bytes] | None:
         """(head, ids, decoded, tail): head and tail are the outer pieces of words; None if there is no white space."""
         got = self.chunks.get(chunk)
         if got is None:
-            words = chunk.split()
+            # the tokenizer lower-cases itself, but not the special strings, which it looks for before
+            words = (chunk if b"<" in chunk or not self.lower else chunk.lower()).split()
             head = b"" if chunk[:1].isspace() or not words else words.pop(0)
             if len(head) == len(chunk):
                 return None
