@@ -82,7 +82,7 @@ class Kept:
 class Coder:
     """encode() and decode() of one tokenizer file, with reuse."""
 
-    def __init__(self, path: str, words: int = 400_000, chunk_bytes: int = 32 << 20) -> None:
+    def __init__(self, path: str, words: int = 120_000, chunk_bytes: int = 16 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

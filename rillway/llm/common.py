@@ -1,6 +1,6 @@
 """Shared helpers of the training-data operators.
 
-Everything here is bounded per task: texts are worked on in blocks of about a
+Everything here is bounded per task: texts are worked on in blocks of about a quarter of a
 megabyte, groups arrive one after another from a sorted partition, and
 intermediate tables are cut into the folder that the cluster shares.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: UTF-8 never holds this byte, so it separates texts that lie in one buffer.
 SEP = 0xFF
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
