@@ -54,6 +54,8 @@ class Context:
     #: Rows of one block of the sequence operators.
     block: int = 1_000_000
     max_categories: int = 1000
+    #: Approximate quantiles of order columns; they only balance the work, so they stay good for any later rows.
+    cuts: dict[str, list[float]] = field(default_factory=dict)
 
     def sorting(self, what: str, back: bool = False) -> list[Column]:
         if not self.order:

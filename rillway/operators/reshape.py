@@ -111,4 +111,4 @@ def join(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
 
 def size_of(df: DataFrame) -> int:
     """Bytes of df as the optimizer estimates them, from the sizes of the files below."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()[:18])
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -105,20 +105,34 @@ def split_data(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     """`train` or `test` by a linear congruential number of the seed and the place of the row."""
     ratio, seed = float(args.get("ratio", 0.8)), int(args.get("seed", 42))
     df = dense_index(ctx, df, "__i")
-    # 64-bit wrapping arithmetic in two 32-bit halves, which never overflows a long
-    a, c = 6364136223846793005, 1442695040888963407
-    out = lcg(F.col("__i"), seed, a, c)
+    out = uniform(F.col("__i"), seed)
     return df.withColumn(args.get("result") or "_split", F.when(out < ratio, "train").otherwise("test")).drop("__i")
 
 
-def lcg(i, seed: int, a: int, c: int):
-    """(((seed + i) * a + c) mod 2^64 >> 33) / 2^31 as an expression; seed + i below 2^31."""
-    x = F.lit(seed).cast("bigint") + i
-    m = (1 << 16) - 1
-    limbs, carry = [], F.lit(0).cast("bigint")
-    for k in range(4):
-        total = x * ((a >> (16 * k)) & m) + ((c >> (16 * k)) & m) + carry
-        limbs.append(total.bitwiseAND(F.lit(m)))
-        carry = F.shiftright(total, 16)
-    high = limbs[3] * 32768 + F.shiftright(limbs[2], 1)
+# fixed values: multiplier and increment of the 64-bit congruential generator
+LCG = (6364136223846793005, 1442695040888963407)
+
+
+def uniform(i, seed: int):
+    """A number of [0, 1) for a place and a seed: three rounds x * a + c modulo 2^64, the first from the place and then
+    xor the seed; of the last the upper 31 bits. Longs never overflow: a value is four digits of 16 bits."""
+    m = F.lit(0xFFFF).cast("bigint")
+    a, c, s = ([(v >> (16 * k)) & 0xFFFF for k in range(4)] for v in (*LCG, seed % 2**64))
+    names = [f"d{k}" for k in range(4)]
+
+    def digits(values):
+        return F.struct(*[v.cast("bigint").alias(n) for n, v in zip(names, values)])
+
+    def turn(x, k):
+        low, carry = [], F.lit(c[0]).cast("bigint")
+        for place in range(4):
+            total = carry
+            for j in range(place + 1):
+                total = total + x[names[j]] * F.lit(a[place - j]).cast("bigint")
+            low.append(total.bitwiseAND(m))
+            carry = F.shiftright(total, 16) + F.lit(c[place + 1] if place < 3 else 0)
+        return digits([F.when(k == 0, d.bitwiseXOR(F.lit(v).cast("bigint"))).otherwise(d) for d, v in zip(low, s)])
+
+    start = digits([F.shiftright(i, 16 * k).bitwiseAND(m) for k in range(4)])
+    high = F.aggregate(F.array(F.lit(0), F.lit(1), F.lit(2)), start, turn, lambda x: x["d3"] * 32768 + F.shiftright(x["d2"], 1))
     return high / F.lit(float(1 << 31))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,16 +26,19 @@ def dense_index(ctx: Context, df: DataFrame, name: str, ranges: int = 64) -> Dat
     first, desc = ctx.order[0]
     kind = kinds(df)[first]
     c = quoted(first)
-    if kind in ("int", "float", "date", "timestamp"):
-        value = number(df, first, "order")
-        cuts = df.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 1000).alias("q")).first()["q"] or []
+    if kind in ("int", "float", "date", "timestamp", "string"):
+        # of a text the first six bytes, which order as numbers as the texts do as bytes
+        value = number(df, first, "order") if kind != "string" else F.conv(F.rpad(F.left(F.hex(c.cast("string").cast("binary")), F.lit(12)), 12, "0"), 16, 10).cast("double")
+        if first not in ctx.cuts:
+            ctx.cuts[first] = df.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 1000).alias("q")).first()["q"] or []
+        cuts = ctx.cuts[first]
         chunk = F.lit(0)
         for b in sorted(set(cuts)):
             chunk = chunk + F.coalesce((value >= b).cast("int"), F.lit(0))
         chunk = F.when(value.isNull(), F.lit(1 << 30)).otherwise(-chunk if desc else chunk)
     else:
         chunk = F.lit(0)
-    df = df.withColumn("__chunk", chunk)
+    df = df.withColumn("__chunk", chunk.cast("int"))
     sizes = df.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # at most `ranges` + 1 rows
@@ -110,7 +115,7 @@ def step(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     parts = {"sum": {"__s": ("sum", "in")}, "avg": {"__s": ("sum", "in"), "__c": ("count", "in")}, "min": {"__s": ("min", "in")}, "max": {"__s": ("max", "in")}, "count": {"__s": ("count", "in")}}.get(func, {"__s": ("last", "before")})
     out = running(ctx, df, x, parts)
     s, v = F.col("__s"), F.col("__x")
-    value = {"avg": lambda: s / F.col("__c"), "delta": lambda: v - s, "ratio": lambda: F.try_divide(v, s)}.get(func, lambda: s.cast("double"))()
+    value = {"avg": lambda: F.try_divide(s, F.col("__c")), "delta": lambda: v - s, "ratio": lambda: F.try_divide(v, s)}.get(func, lambda: s.cast("double"))()
     return _done(out.withColumn(name, F.when(v.isNotNull(), value)), df.columns, name)
 
 
@@ -186,8 +191,8 @@ def anomaly(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     order, ctx.order = ctx.order, list(ctx.order)
     two = running(ctx, one, F.col("__y") * F.col("__y"), {"__q": ("sum", "in")})
     ctx.order = order
-    mean = F.col("__s") / F.col("__c")
-    var = (F.col("__q") - F.col("__s") * mean) / (F.col("__c") - 1)
+    mean = F.try_divide(F.col("__s"), F.col("__c"))
+    var = F.try_divide(F.col("__q") - F.col("__s") * mean, F.col("__c") - 1)
     hit = (F.col("__c") > 1) & (var > 0) & (F.abs(F.col("__y") - mean) > t * F.sqrt(var))
     return _done(two.withColumn(name, F.when(F.col("__y").isNotNull() & F.coalesce(hit, F.lit(False)), 1).otherwise(0).cast("bigint")), df.columns, name)
 
@@ -196,35 +201,36 @@ def anomaly(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
 def ewma(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     """e = alpha * v + (1 - alpha) * e from the first value on; a null gives null and leaves e as it is.
 
-    In a block of consecutive values the recurrence is unrolled by an array aggregate; blocks hand on their last e through
-    the affine map that each of them is.
+    A block of consecutive values starts from 0 on its own (pandas, in batches of whole blocks); what the blocks before it
+    hand on fades with each row: blocks meet through the affine map that each of them is.
     """
     a = float(args["alpha"])
     name = args.get("result") or f"{args['column']}_ewma"
     d = running(ctx, df, number(df, args["column"], "ewma"), {"__c": ("count", "in")}).drop("__b")
     have = d.where("__x is not null").withColumn("__c", F.col("__c") - 1)
-    size = min(ctx.block, 4096)
-    have = have.withColumn("__b", F.floor(F.col("__c") / size)).withColumn("__k", F.col("__c") % size)
-    rows = have.select("__b", "__k", "__x", "__i")
-    seq = rows.groupBy("__b").agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__x", "__i"))), lambda s: F.struct(s["__x"].alias("x"), s["__i"].alias("i"))).alias("s"))
-    # e in a block that starts from 0; the very first block starts from its first value
-    start = F.struct(F.when(F.col("__b") == 0, F.get("s", F.lit(0))["x"]).otherwise(F.lit(0.0)).alias("e"), F.array().cast("array<struct<i:bigint,e:double>>").alias("out"))
-
-    def go(acc, s):
-        e = a * s["x"] + (1 - a) * acc["e"]
-        return F.struct(e.alias("e"), F.concat(acc["out"], F.array(F.struct(s["i"].alias("i"), e.alias("e")))).alias("out"))
-
-    local = seq.select("__b", F.size("s").alias("n"), F.aggregate("s", start, go).alias("r"))
-    ends = local.select("__b", "n", F.col("r.e").alias("e"))
-    # e before block b: the sum over earlier blocks of their e, faded by what lies between; terms below 1e-300 vanish
+    have = have.withColumn("__b", F.floor(F.col("__c") / ctx.block)).withColumn("__k", F.col("__c") % ctx.block).select("__b", "__k", "__x", "__i")
+
+    def local(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__k")
+        x = rows["__x"].to_numpy(float)
+        if rows["__b"].iloc[0]:
+            x = np.concatenate([[0.0], x])
+        e = pd.Series(x).ewm(alpha=a, adjust=False).mean().to_numpy()[-len(rows) :] if a < 1 else x[-len(rows) :]
+        return pd.DataFrame({"__b": rows["__b"], "__k": rows["__k"], "__i": rows["__i"], "__e": e})
+
+    # the last e of each block
     fade = F.lit(1 - a)
-    far = max(1, math.ceil(700 / max(1e-12, -math.log(max(1 - a, 1e-300))) / size)) if a < 1 else 1
+    size = have.groupBy("__b").agg((F.max("__k") + 1).alias("n"))
+    share = F.when((F.col("__b") == 0) & (F.col("__k") == 0), F.lit(1.0)).otherwise(F.lit(a))
+    ends = have.join(size, "__b").groupBy("__b").agg(F.first("n").alias("n"), F.sum(share * F.pow(fade, F.col("n") - 1 - F.col("__k")) * F.col("__x")).alias("e"))
+    # e before block b: the sum over earlier blocks of their e, faded by what lies between; terms below 1e-300 vanish
+    far = max(1, math.ceil(700 / max(1e-12, -math.log(max(1 - a, 1e-300))) / ctx.block)) if a < 1 else 1
     w = Window.orderBy("__b").rowsBetween(-far, -1)
     listed = F.collect_list(F.struct("e", "n")).over(w)
     carry = F.aggregate(listed, F.lit(0.0), lambda acc, x: x["e"] + F.pow(fade, x["n"]) * acc)
     before = ends.select("__b", carry.alias("__carry"))
-    out = local.join(before, "__b").select("__carry", F.posexplode("r.out").alias("p", "z"))
-    out = out.select(F.col("z.i").alias("__i"), (F.col("z.e") + F.pow(fade, F.col("p") + 1) * F.col("__carry")).alias(name))
+    out = have.groupBy("__b").applyInPandas(local, "__b long, __k long, __i long, __e double").join(before, "__b")
+    out = out.select("__i", (F.col("__e") + F.pow(fade, F.col("__k") + 1) * F.col("__carry")).alias(name))
     return _done(d.join(out, "__i", "left"), df.columns, name)
 
 
@@ -247,7 +253,7 @@ def interpolate(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     elif method == "backward":
         fill = F.coalesce(n["x"], p["x"])
     else:
-        part = (F.col("__p") - p["p"]) / (n["p"] - p["p"])
+        part = F.try_divide((F.col("__p") - p["p"]).cast("double"), (n["p"] - p["p"]).cast("double"))
         fill = F.when(p.isNull(), n["x"]).when(n.isNull(), p["x"]).otherwise(p["x"] + part * (n["x"] - p["x"]))
     new = F.coalesce(quoted(args["column"]).cast("double"), fill) if kind in ("int", "float", "null") else None
     if new is None:

@@ -184,9 +184,11 @@ def render(df: DataFrame, fmt: str, delimiter: str = ",", header: bool = True, m
         for r in cells:
             out.write(line(r))
     else:
-        w = csv.writer(out, delimiter=delimiter, lineterminator="\n")
+        def line(cells) -> str:
+            return delimiter.join('"' + v.replace('"', '""') + '"' if any(x in v for x in (delimiter, '"', "\r", "\n")) else v for v in cells) + "\n"
+
         if header:
-            w.writerow(names)
+            out.write(line(names))
         for r in texts(df).toLocalIterator():
-            w.writerow(["" if v is None else v for v in r])
+            out.write(line("" if v is None else v for v in r))
     return out.getvalue()
