@@ -124,7 +124,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span, or chain of overlapping spans, of text replaced by mark; n_chars follows where there is such a column."""
-    df = with_spans(docs, text_col)
+    # one struct holds the rows as they are, so that no name of theirs clashes
+    df = with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text")))
+    old = {c: F.col("row").getField(c) for c in docs.columns}
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -134,10 +136,10 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
 
     clean = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substr("__t", acc["at"] + 1, F.length("__t"))))
     hit = F.size("__spans") > 0
-    df = df.withColumn(text_col, F.when(hit, clean).otherwise(F.col(text_col)))
+    new = {text_col: F.when(hit, clean).otherwise(old[text_col].cast("string"))}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(hit, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return df.select(*docs.columns)
+        new["n_chars"] = F.when(hit, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(old["n_chars"])
+    return df.select(*[new.get(c, x).alias(c) for c, x in old.items()])
 
 
 def op8_secret_scans(spark, sf_dir):
