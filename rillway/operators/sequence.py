@@ -32,13 +32,11 @@ def dense_index(ctx: Context, df: DataFrame, name: str, ranges: int = 64) -> Dat
         if first not in ctx.cuts:
             ctx.cuts[first] = df.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 1000).alias("q")).first()["q"] or []
         cuts = ctx.cuts[first]
-        chunk = F.lit(0)
-        for b in sorted(set(cuts)):
-            chunk = chunk + F.coalesce((value >= b).cast("int"), F.lit(0))
-        chunk = F.when(value.isNull(), F.lit(1 << 30)).otherwise(-chunk if desc else chunk)
+        df = df.withColumn("__value", value)
+        chunk = F.when(F.col("__value").isNull(), F.lit(1 << 30)).otherwise(F.expr(_place(sorted(set(cuts)), -1 if desc else 1)))
     else:
         chunk = F.lit(0)
-    df = df.withColumn("__chunk", chunk.cast("int"))
+    df = df.withColumn("__chunk", chunk.cast("int")).drop("__value")
     sizes = df.groupBy("__chunk").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # at most `ranges` + 1 rows
@@ -48,6 +46,14 @@ def dense_index(ctx: Context, df: DataFrame, name: str, ranges: int = 64) -> Dat
     return out.withColumn(name, place.cast("bigint")).drop("__chunk", "__before")
 
 
+def _place(cuts: list[float], sign: int, base: int = 0) -> str:
+    """SQL of sign times the number of cuts that __value reaches, by halving."""
+    if not cuts:
+        return str(sign * base)
+    mid = len(cuts) // 2
+    return f"CASE WHEN __value >= {float(cuts[mid])!r}D THEN {_place(cuts[mid + 1 :], sign, base + mid + 1)} ELSE {_place(cuts[:mid], sign, base)} END"
+
+
 def _blocks(ctx: Context, df: DataFrame, valid: Column) -> DataFrame:
     """df with __i (place), __valid, __v0 (number of valid rows before, in the order) and __b (block of __i)."""
     df = dense_index(ctx, df, "__i").withColumn("__valid", valid)
