@@ -4,8 +4,9 @@ A page is read once into blocks of text, each with its root-to-leaf path of bloc
 length of text, the punctuation and the length of links are summed over its nodes; the ratios of text
 and of punctuation to nodes are fused into one value per path, smoothed along the page, and paths above a threshold
 are content. Containers that are boilerplate by their tag, role or class name (menus, headers, footers,
-sidebars, notices, adverts, forms, comments) never are. Where the page marks its article (article, main), the article with the
-highest fused ratios is taken as a whole, since short headings and lines in it have low ratios but belong to it.
+sidebars, notices, adverts, forms, comments) never are. What the page marks (article, main) is taken as a whole, since short
+headings and lines in it have low ratios but belong to it, if one of its paths is content or if its fused ratios
+times lengths, counted `MARKED` times, reach half of the most that another marked element or all the rest has.
 
 Defined results: null html is empty; a page without content gives an empty text and n_chars 0; unclosed elements end where
 HTML says (a new paragraph ends the one before); repeated rows each get a row; an empty table gives an
@@ -36,6 +37,8 @@ SCOPE = frozenset("html body table td th ul ol dl article section div main aside
 _WORDS = frozenset("ad ads adv nav navbar navigation menu header masthead footer banner notice notices alert popup modal overlay toolbar widget share sharing social login signup search meta tags pager pagination consent gdpr".split())
 _STARTS = ("advert", "comment", "sidebar", "cookie", "sponsor", "promo", "newsletter", "subscri", "breadcrumb", "related", "recommend", "disqus", "respond", "replies", "sitenav", "menubar")
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
+#: Times that the weight of a marked element counts against the rest of the page.
+MARKED = 12
 _PUNCT = re.compile(r"[.,;:!?…、。，？！]")
 
 
@@ -164,23 +167,20 @@ def extract(html: str, level: float = 0.5) -> str:
     if not blocks:
         return ""
     fused = fused_ratios(blocks)
-    marked: dict[int, float] = {}
-    for (_, article, text, _), f in zip(blocks, fused):
-        if article:
-            marked[article] = marked.get(article, 0.0) + f * len(text)
-    if marked:
-        most = max(marked.values())
-        kept = [b[2] for b in blocks if b[1] and marked[b[1]] >= level * most]
-    else:
-        # a path is content if its best block reaches a part of the page's best
-        best: dict[str, float] = {}
-        for b, f in zip(blocks, fused):
-            best[b[0]] = max(best.get(b[0], 0.0), f)
-        most = max(best.values())
-        top = max(best, key=best.get)
-        # headings and short lists beside content, in the container of the best path, belong to it
-        home = top.rsplit("/", 1)[0] + "/"
-        kept = [b[2] for b in blocks if most > 0 and (best[b[0]] >= level * most or home.count("/") > 3 and b[0].startswith(home))]
+    # a path is content if its best block reaches a part of the page's best
+    best: dict[str, float] = {}
+    weight: dict[int, float] = {}
+    for (path, article, text, _), f in zip(blocks, fused):
+        best[path] = max(best.get(path, 0.0), f)
+        weight[article] = weight.get(article, 0.0) + f * len(text) * (MARKED if article else 1)
+    most = max(best.values())
+    passed = {p for p, f in best.items() if most > 0 and f >= level * most}
+    # an article is content as a whole by its weight or by a path in it
+    whole = {a for a, w in weight.items() if a and w >= level * max(weight.values())} | {b[1] for b in blocks if b[1] and b[0] in passed}
+    # headings and short lists beside content outside of articles, in the container of its best path, belong to it
+    loose = {b[0]: best[b[0]] for b in blocks if not b[1] and b[0] in passed}
+    home = max(loose, key=loose.get).rsplit("/", 1)[0] + "/" if loose else ""
+    kept = [b[2] for b in blocks if (b[1] in whole if b[1] else b[0] in passed or home.count("/") > 3 and b[0].startswith(home))]
     return "\n\n".join(kept)
 
 

@@ -121,6 +121,16 @@ def test_pages_repeated_long_and_empty(spark):
     assert r[None].text == LONG.strip() and pages.extract_pages(df).count() == 3 and pages.extract_pages(df.where("false")).count() == 0
 
 
+def test_pages_marked_and_unmarked_text():
+    card = "<article><p>A short teaser.</p></article>"
+    two = pages.extract("".join(f"<article>{f'<p>{BODY}</p>' * n}</article>" for n in (10, 4)))
+    assert two == "\n\n".join([BODY] * 14)
+    assert pages.extract(f"<body><div>{f'<p>{BODY}</p>' * 10}</div>{card}</body>") == "\n\n".join([BODY] * 10)
+    assert pages.extract(f"<body><div><p>{BODY}</p></div><article><h1>Head</h1><p>{BODY}</p></article></body>") == f"{BODY}\n\nHead\n\n{BODY}"
+    # a short article beside one long paragraph stays
+    assert "One, two." in pages.extract(f"<article>{'<p>One, two.</p>' * 40}</article><div><p>{BODY * 8}</p></div>")
+
+
 # 4
 
 
