@@ -7,6 +7,8 @@ are content. Containers that are boilerplate by their tag, role or class name (m
 sidebars, notices, adverts, forms, comments) never are. What the page marks (article, main) is taken as a whole, since short
 headings and lines in it have low ratios but belong to it, if one of its paths is content or if its fused ratios
 times lengths, counted `MARKED` times, reach half of the most that another marked element or all the rest has.
+Outside of them, what stands between two blocks of content, in the container of one or as a heading above the first is kept
+too; directly in the body, a menu's links before or after all content are not.
 
 Defined results: null html is empty; a page without content gives an empty text and n_chars 0; unclosed elements end where
 HTML says (a new paragraph ends the one before); repeated rows each get a row; an empty table gives an
@@ -34,6 +36,9 @@ SKIP = frozenset("head script style noscript template nav footer aside form ifra
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tbody", "thead"), "tbody": ("tbody", "thead")}
 SCOPE = frozenset("html body table td th ul ol dl article section div main aside nav footer header form blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+FLOW = HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption address".split())
+ROOTS = ("", "html", "body")
 _WORDS = frozenset("ad ads adv nav navbar navigation menu header masthead footer banner notice notices alert popup modal overlay toolbar widget share sharing social login signup search meta tags pager pagination consent gdpr".split())
 _STARTS = ("advert", "comment", "sidebar", "cookie", "sponsor", "promo", "newsletter", "subscri", "breadcrumb", "related", "recommend", "disqus", "respond", "replies", "sitenav", "menubar")
 _ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
@@ -57,7 +62,7 @@ def boilerplate(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
                 drop |= value == "true"
             else:
                 if key == "class":
-                    names = ".".join(value.split())
+                    names = ".".join(value.replace("/", "_").split())
                 if tag not in ("html", "body", "article", "main") or key == "class" and tag == "article":
                     parts = re.split(r"[^a-z0-9]+", value)
                     drop |= any(p in _WORDS or p.startswith(_STARTS) for p in parts)
@@ -161,6 +166,14 @@ def fused_ratios(blocks: list[tuple[str, int, str, int]]) -> np.ndarray:
     return np.maximum(raw * 0.7, 0) + 0.3 * np.convolve(raw, kernel, "same")[: len(raw)] / weight[: len(raw)] if len(raw) >= 5 else raw
 
 
+def container(path: str) -> str:
+    """The innermost element on the path that holds flowing text with its headings, lists, quotes and tables."""
+    steps = path.split("/")
+    while steps[-1].split(".")[0] in FLOW:
+        steps.pop()
+    return "/".join(steps)
+
+
 def extract(html: str, level: float = 0.5) -> str:
     """The main text of a page: its content blocks, joined by two line feeds."""
     blocks = read_blocks(html)
@@ -177,10 +190,21 @@ def extract(html: str, level: float = 0.5) -> str:
     passed = {p for p, f in best.items() if most > 0 and f >= level * most}
     # an article is content as a whole by its weight or by a path in it
     whole = {a for a, w in weight.items() if a and w >= level * max(weight.values())} | {b[1] for b in blocks if b[1] and b[0] in passed}
-    # headings and short lists beside content outside of articles, in the container of its best path, belong to it
-    loose = {b[0]: best[b[0]] for b in blocks if not b[1] and b[0] in passed}
-    home = max(loose, key=loose.get).rsplit("/", 1)[0] + "/" if loose else ""
-    kept = [b[2] for b in blocks if (b[1] in whole if b[1] else b[0] in passed or home.count("/") > 3 and b[0].startswith(home))]
+    take = [b[1] in whole if b[1] else b[0] in passed for b in blocks]
+    # headings, lists and other short blocks outside of articles belong to the content that they stand in, between or above
+    loose = [k for k, b in enumerate(blocks) if not b[1] and take[k]]
+    if loose:
+        homes = {container(blocks[k][0]) for k in loose}
+        inner = tuple(f"{h}/" for h in homes | {blocks[k][0].rsplit("/", 1)[0] for k in loose} if h.rsplit("/", 1)[-1] not in ROOTS)
+        for k, (path, article, text, link) in enumerate(blocks):
+            heading = path.rsplit("/", 1)[-1].split(".")[0] in HEADINGS
+            beside = container(path) in homes and (heading or 2 * link < len(text))
+            take[k] |= not article and (loose[0] < k < loose[-1] or path.startswith(inner) or beside)
+        for k in range(loose[0] - 1, -1, -1):
+            if blocks[k][1] or blocks[k][0].rsplit("/", 1)[-1].split(".")[0] not in HEADINGS:
+                break
+            take[k] = True
+    kept = [b[2] for b, t in zip(blocks, take) if t]
     return "\n\n".join(kept)
 
 

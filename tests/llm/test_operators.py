@@ -131,6 +131,17 @@ def test_pages_marked_and_unmarked_text():
     assert "One, two." in pages.extract(f"<article>{'<p>One, two.</p>' * 40}</article><div><p>{BODY * 8}</p></div>")
 
 
+@pytest.mark.parametrize("top,end", [("", ""), ("<html><body>", "</body></html>"), ("<html><body><div class='w-1/2'>", "</div></body></html>"), ("<html><body><div><div><h1>Above</h1></div><div>", "</div></div></body></html>")])
+def test_pages_headings_and_lists_beside_text(top, end):
+    text = pages.extract(f"{top}<h1>Head</h1><p>{BODY * 5}</p><h2>Part</h2><ul><li>One, two.<li>Three</ul><p>{BODY * 5}</p><blockquote>Short.</blockquote><ol><li>Last</ol>{end}")
+    assert text == "\n\n".join(["Above"] * ("Above" in top) + ["Head", BODY * 5, "Part", "One, two.", "Three", BODY * 5, "Short.", "Last"])
+
+
+def test_pages_flat_text_without_paragraphs():
+    menu = "<ul><li><a href=/>Home</a></li><li><a href=/b>More</a></li></ul>"
+    assert pages.extract(f"<html><body>{menu}<h1>Head</h1>{BODY * 5}<h2>Part</h2><div><p>Between.</p></div>{BODY * 5}{menu}</body></html>") == "\n\n".join(["Head", BODY * 5, "Part", "Between.", BODY * 5])
+
+
 # 4
 
 
