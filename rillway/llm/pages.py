@@ -3,8 +3,9 @@
 A page is read once into blocks of text, each with its root-to-leaf path of block-level tags and classes. Per path the
 length of text, the punctuation and the length of links are summed over its nodes; the ratios of text
 and of punctuation to nodes are fused into one value per path, smoothed along the page, and paths above a threshold
-are content. Containers that are boilerplate by their tag, role or class name (menus, headers, footers,
-sidebars, notices, adverts, forms, comments) never are. What the page marks (article, main) is taken as a whole, since short
+are content. Containers that are boilerplate by their tag or role (menus, headers, footers, sidebars) never are; forms and those
+named as boilerplate by a whole part of their class or id (notices, adverts, comments) only if their fused ratios times lengths
+are more than those of all the page beside them, what is marked there counted `MARKED` times. What the page marks (article, main) is taken as a whole, since short
 headings and lines in it have low ratios but belong to it, if one of its paths is content or if its fused ratios
 times lengths, counted `MARKED` times, reach half of the most that another marked element or all the rest has.
 Outside of them, what stands between two blocks of content, in the container of one or as a heading above the first is kept
@@ -32,7 +33,7 @@ _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var nobr wbr br img".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-SKIP = frozenset("head script style noscript template nav footer aside form iframe svg math button select textarea title object audio video canvas map dialog menu xmp noembed noframes".split())
+SKIP = frozenset("head script style noscript template nav footer aside iframe svg math button select textarea title object audio video canvas map dialog menu xmp noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tbody", "thead"), "tbody": ("tbody", "thead")}
 SCOPE = frozenset("html body table td th ul ol dl article section div main aside nav footer header form blockquote".split())
@@ -40,48 +41,51 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 FLOW = HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption address".split())
 ROOTS = ("", "html", "body")
 _WORDS = frozenset("ad ads adv nav navbar navigation menu header masthead footer banner notice notices alert popup modal overlay toolbar widget share sharing social login signup search meta tags pager pagination consent gdpr".split())
-_STARTS = ("advert", "comment", "sidebar", "cookie", "sponsor", "promo", "newsletter", "subscri", "breadcrumb", "related", "recommend", "disqus", "respond", "replies", "sitenav", "menubar")
-_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
+_NAMES = frozenset("advert adverts advertisement advertisements advertising advertorial comment comments commentlist commentform sidebar sidebars cookie cookies cookiebar sponsor sponsors sponsored promo promos promotion promotions promoted newsletter newsletters subscribe subscription subscriptions breadcrumb breadcrumbs related recommended disqus respond replies sitenav menubar".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: Times that the weight of a marked element counts against the rest of the page.
 MARKED = 12
 _PUNCT = re.compile(r"[.,;:!?…、。，？！]")
 
 
-def boilerplate(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
-    """(whether the container never holds content, its class names); inside: within an article."""
+def boilerplate(tag: str, attrs: str, inside: bool) -> tuple[bool, bool, str]:
+    """(whether the container never holds content, whether it does only if it holds most of the page, its class names); inside: within an article."""
     names = ""
     drop = tag in SKIP or tag == "header" and not inside
+    doubt = tag == "form"
     if attrs.strip():
         for m in _ATTR.finditer(attrs):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "role":
-                drop |= value in _ROLES
+                doubt |= value.lower() == "form"
+                drop |= value.lower() in _ROLES
             elif key == "hidden":
                 drop = True
             elif key == "aria-hidden":
-                drop |= value == "true"
+                drop |= value.lower() == "true"
             else:
                 if key == "class":
-                    names = ".".join(value.replace("/", "_").split())
+                    names = ".".join(value.lower().replace("/", "_").split())
                 if tag not in ("html", "body", "article", "main") or key == "class" and tag == "article":
-                    parts = re.split(r"[^a-z0-9]+", value)
-                    drop |= any(p in _WORDS or p.startswith(_STARTS) for p in parts)
-    return drop, names
+                    parts = re.split(r"[^a-z0-9]+", value.lower()) + re.split(r"[^a-z0-9]+", _HUMP.sub("-", value).lower())
+                    doubt |= any((p in _WORDS or p.rstrip("0123456789") in _NAMES) and not (inside and p == "header") for p in parts)
+    return drop, doubt, names
 
 
-def read_blocks(html: str) -> list[tuple[str, int, str, int]]:
-    """(path, number of its article or 0, text, length of links) of all blocks that may be content."""
-    out: list[tuple[str, int, str, int]] = []
-    stack: list[tuple[str, bool, str, int]] = []  # tag, dropped, path, article
+def read_blocks(html: str) -> list[tuple[str, int, str, int, tuple[int, ...]]]:
+    """(path, number of its article or 0, text, length of links, doubtful containers from the outermost in) of all blocks that may be content."""
+    out: list[tuple[str, int, str, int, tuple[int, ...]]] = []
+    stack: list[tuple[str, bool, str, int, tuple[int, ...]]] = []  # tag, dropped, path, article, doubtful containers
     text: list[str] = []
-    link = articles = anchors = 0
+    link = articles = anchors = doubts = 0
 
     def close() -> None:
         nonlocal link
         if text:
             t = " ".join("".join(text).split())
             if t and not (stack and stack[-1][1]):
-                out.append((stack[-1][2] if stack else "", stack[-1][3] if stack else 0, t, link))
+                out.append((*(stack[-1][2:4] if stack else ("", 0)), t, link, stack[-1][4] if stack else ()))
             text.clear()
         link = 0
 
@@ -132,17 +136,20 @@ def read_blocks(html: str) -> list[tuple[str, int, str, int]]:
                     break
                 if stack[k][0] in SCOPE:
                     break
-        _, dropped, path, article = stack[-1] if stack else ("", False, "", 0)
+        _, dropped, path, article, within = stack[-1] if stack else ("", False, "", 0, ())
         if tag in ("html", "body"):
             dropped = False
         if not dropped:
-            dropped, names = boilerplate(tag, m[3], bool(article))
+            dropped, doubt, names = boilerplate(tag, m[3], bool(article))
             path = f"{path}/{tag}{'.' + names if names else ''}"
             if tag in ("article", "main") and not article and not dropped:
                 articles += 1
                 article = articles
+            if doubt:
+                doubts += 1
+                within = (*within, doubts)
         if not m[3].rstrip().endswith("/") or tag not in ("svg", "path"):
-            stack.append((tag, dropped, path, article))
+            stack.append((tag, dropped, path, article, within))
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
             at = end.start() if end else n
@@ -150,10 +157,10 @@ def read_blocks(html: str) -> list[tuple[str, int, str, int]]:
     return out
 
 
-def fused_ratios(blocks: list[tuple[str, int, str, int]]) -> np.ndarray:
+def fused_ratios(blocks: list[tuple]) -> np.ndarray:
     """The smoothed value of each block: text and punctuation per node of its path, less what is linked."""
     paths: dict[str, list[float]] = {}
-    for path, _, text, link in blocks:
+    for path, _, text, link, _ in blocks:
         p = paths.setdefault(path, [0, 0, 0, 0])
         p[0] += len(text)
         p[1] += len(_PUNCT.findall(text))
@@ -166,6 +173,24 @@ def fused_ratios(blocks: list[tuple[str, int, str, int]]) -> np.ndarray:
     return np.maximum(raw * 0.7, 0) + 0.3 * np.convolve(raw, kernel, "same")[: len(raw)] / weight[: len(raw)] if len(raw) >= 5 else raw
 
 
+def without_boilerplate(blocks: list[tuple]) -> list[tuple]:
+    """The blocks outside of doubtful containers, and in those that weigh more than all of the page beside them."""
+    if not any(b[4] for b in blocks):
+        return blocks
+    weights = fused_ratios(blocks) * [len(b[2]) for b in blocks]
+    total = float(weights.sum())
+    held: dict[int, float] = {}
+    for b, w in zip(blocks, weights):
+        for c in b[4]:
+            held[c] = held.get(c, 0.0) + w
+    freed: set[int] = set()
+    for c in sorted(c for c, w in held.items() if 2 * w > total):  # the outer ones first
+        marked = sum(w for b, w in zip(blocks, weights) if b[1] and c not in b[4] and freed.issuperset(b[4]))
+        if held[c] > total - held[c] + (MARKED - 1) * marked:
+            freed.add(c)
+    return [b for b in blocks if freed.issuperset(b[4])]
+
+
 def container(path: str) -> str:
     """The innermost element on the path that holds flowing text with its headings, lists, quotes and tables."""
     steps = path.split("/")
@@ -176,14 +201,14 @@ def container(path: str) -> str:
 
 def extract(html: str, level: float = 0.5) -> str:
     """The main text of a page: its content blocks, joined by two line feeds."""
-    blocks = read_blocks(html)
+    blocks = without_boilerplate(read_blocks(html))
     if not blocks:
         return ""
     fused = fused_ratios(blocks)
     # a path is content if its best block reaches a part of the page's best
     best: dict[str, float] = {}
     weight: dict[int, float] = {}
-    for (path, article, text, _), f in zip(blocks, fused):
+    for (path, article, text, _, _), f in zip(blocks, fused):
         best[path] = max(best.get(path, 0.0), f)
         weight[article] = weight.get(article, 0.0) + f * len(text) * (MARKED if article else 1)
     most = max(best.values())
@@ -196,7 +221,7 @@ def extract(html: str, level: float = 0.5) -> str:
     if loose:
         homes = {container(blocks[k][0]) for k in loose}
         inner = tuple(f"{h}/" for h in homes | {blocks[k][0].rsplit("/", 1)[0] for k in loose} if h.rsplit("/", 1)[-1] not in ROOTS)
-        for k, (path, article, text, link) in enumerate(blocks):
+        for k, (path, article, text, link, _) in enumerate(blocks):
             heading = path.rsplit("/", 1)[-1].split(".")[0] in HEADINGS
             beside = container(path) in homes and (heading or 2 * link < len(text))
             take[k] |= not article and (loose[0] < k < loose[-1] or path.startswith(inner) or beside)

@@ -142,6 +142,17 @@ def test_pages_flat_text_without_paragraphs():
     assert pages.extract(f"<html><body>{menu}<h1>Head</h1>{BODY * 5}<h2>Part</h2><div><p>Between.</p></div>{BODY * 5}{menu}</body></html>") == "\n\n".join(["Head", BODY * 5, "Part", "Between.", BODY * 5])
 
 
+@pytest.mark.parametrize("tag", ["form", "div id=commentary", "div id=recommendations", "div class=respondents", "section class=notice", "div class=meta"])
+def test_pages_text_in_named_containers(tag):
+    page = f"<body><nav><a href=/>Home</a></nav><{tag}><div class=comments><p>{BODY}</p></div><h1>Head</h1>{f'<p>{BODY}</p>' * 6}</{tag.split()[0]}><div class='ad'>Buy, now.</div></body>"
+    assert pages.extract(page) == "\n\n".join(["Head"] + [BODY] * 6)
+
+
+def test_pages_names_beside_and_in_an_article():
+    page = f"<form><article><div class='article-header'><h1>Head</h1></div><p>{BODY}</p><div class='related2'><p>{BODY}</p></div></article><div id='userComments'>{f'<p>{BODY}</p>' * 3}</div><div class=commentFormBox><p>{BODY}</p></div></form>"
+    assert pages.extract(page) == f"Head\n\n{BODY}"
+
+
 # 4
 
 
