@@ -4,9 +4,10 @@ Base patterns: assignments of a key name to 12 characters or more, access key id
 16 or more lower-case hex digits. Besides, candidate strings (runs of 20 or more of A-Za-z0-9+/_=-) are
 scanned with a window of `WINDOW` characters: the sum of c * log2(c) over the counts of the characters in it is
 carried from one window to the next by what the leaving and the entering character change, so the entropy of
-each window costs a constant number of steps. A candidate is a secret if its largest window entropy
-reaches the threshold of its character class, unless the allow list holds it: words of one case and
-no digit, plain numbers, UUIDs, runs with placeholders, paths and URLs.
+each window costs a constant number of steps. A candidate is a secret if a window that overlaps no placeholder reaches the
+threshold of its character class, the class being that of all characters up to the next placeholder. Left out are
+what consists of words of one case, capitalised or in camel case without digits, paths from / or // on whose words end in
+digits at most, plain numbers and UUIDs.
 
 Spans are kind:start:end in code points, the end exclusive, by start and then kind.
 
@@ -31,7 +32,17 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Bits per character in the best window, by class of characters.
 THRESHOLD = {"hex": 2.9, "upper": 3.5, "mixed": 3.7}
-ALLOWED = r"(?i)(^[a-z_=/+-]+$|^[0-9_=/+-]+$|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|example|placeholder|changeme|your[_-]|xxxx|0000|1234567|^/|//|^(.)\2*$)"
+#: Windows that overlap one of these don't count.
+PLACEHOLDER = r"(?i)(example|placeholder|changeme|your[_-]|x{4,}|0{4,}|1234567)=*"
+#: Runs, or what is left of them between placeholders, that are words of letters, a path of words and numbers, numbers or a UUID.
+LETTERS = r"^[A-Za-z_=/+-]+$"
+PATH = r"^//?[A-Za-z0-9][A-Za-z0-9_=/+-]*$"
+NUMBERS = r"^[0-9_=/+-]+$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+#: Not so in words: a capital within one that has no small letter behind it; more than one before a small one; a digit before a letter.
+NO_WORD = r"[a-z][A-Z](?![a-z])|[A-Z]{2}[a-z]"
+NO_NUMBER = r"[0-9][A-Za-z]"
+#: Characters of a run that are judged at once; those of longer ones overlap by a window less one.
+PIECE = 256
 
 
 def _spans(text: Column, pattern: str, kind: int, found: Column, keep: Column | None = None) -> Column:
@@ -81,9 +92,16 @@ def entropy(c: Column, window: int = WINDOW) -> Column:
 
 
 def _high(c: Column) -> Column:
-    hexa, upper = c.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), c.rlike("^[0-9A-Z]+$")
-    need = F.when(hexa, F.lit(THRESHOLD["hex"])).when(upper, F.lit(THRESHOLD["upper"])).otherwise(F.lit(THRESHOLD["mixed"]))
-    return F.when(c.rlike(ALLOWED), F.lit(False)).otherwise(entropy(c) >= need)
+    """Whether a window of the string c that overlaps no placeholder reaches its threshold."""
+
+    def part(p):
+        hexa, upper = p.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), p.rlike("^[0-9A-Z]+$")
+        need = F.when(hexa, F.lit(THRESHOLD["hex"])).when(upper, F.lit(THRESHOLD["upper"])).otherwise(F.lit(THRESHOLD["mixed"]))
+        words = (p.rlike(LETTERS) | p.rlike(PATH) & ~p.rlike(NO_NUMBER)) & ~p.rlike(NO_WORD)
+        pieces = F.transform(F.sequence(F.lit(1), F.length(p) - WINDOW + 1, F.lit(PIECE - WINDOW + 1)), lambda i: F.substr(p, i, F.lit(PIECE)))
+        return F.when((F.length(p) < WINDOW) | p.rlike(NUMBERS) | words, F.lit(False)).otherwise(F.exists(pieces, lambda x: entropy(x) >= need))
+
+    return F.exists(F.split(c, PLACEHOLDER, -1), part)
 
 
 def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:

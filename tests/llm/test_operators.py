@@ -317,6 +317,21 @@ def test_entropy(spark):
         assert abs(r.e - brute_entropy(r.c)) < 1e-9
 
 
+def test_secrets_allow_list(spark):
+    rng = random.Random(6)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda n: "".join(rng.choice(base64) for _ in range(n))
+    slashed = ["/" + key(39) for _ in range(20)] + [key(19) + "//" + key(19) for _ in range(20)]
+    bodies = [key(5000) for _ in range(5)] + [key(2000) + "0000xxxx1234567//" + key(2000)]
+    secret = slashed + bodies + ["example=" + key(40), "qWzRtYpLkJhGfDsAmNbVcX", "a" * 600 + "Zx9Qw8Er7Ty6Ui5Op4As3Df2"]
+    plain = ["/usr/lib/python3/dist-packages/some_module", "//static/images/Title-Page/2024/header-logo", "getElementsByTagNameWithFilter", "Hello_World_This_Is_Quite_A_Title", "com/path/to/pages/of-the-project", "THIS_IS_A_CONSTANT_QUITE_LONG", "xxxxxxxxxxxxxxxxxxxxxxxx", "your_example_changeme_placeholder", "12345678-1234-abcd-ABCD-123456789abc", "x" * 70_000, "key_example_aB3dE5fG7hJ9"]
+    df = spark.createDataFrame([(k, f"k {c} z") for k, c in enumerate(secret + plain)], "doc_id long, text string")
+    got = by_id(secrets.scan(df))
+    low = [c[:60] for k, c in enumerate(secret) if f"entropy:2:{2 + len(c)}" not in got[k].spans.split(",")]
+    assert len(low) <= 1, low  # a run of 40 random characters may have no window of 3.7 bits
+    assert not [c[:60] for k, c in enumerate(plain, len(secret)) if "entropy" in got[k].spans]
+
+
 # 9
 
 
