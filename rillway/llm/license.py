@@ -6,7 +6,7 @@ stands where its words follow one another, whatever stands between them.
 
 Labels: the three base phrases give mit, apache-2 and cc-by-nc; other notices give the labels
 in NOTICES; a tag (SPDX-License-Identifier) gives the lower-cased identifiers of its expression, `a with b` as
-"a-with-b". An expression that does not parse gives the label "unknown". score is 0 without
+"a-with-b". Prose behind an expression in its line ends it; a tag behind which none parses gives the label "unknown". score is 0 without
 evidence, otherwise 1 minus the product of what each label leaves open (base phrase and tag 0.1, notice 0.4).
 
 Defined results: null text is empty: no words, no places, empty labels, score 0; repeated rows
@@ -49,8 +49,9 @@ NOTICES = {
 }
 TAG = "spdx license identifier"
 OPEN = {"base": 0.1, "tag": 0.1, "notice": 0.4}
-_TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
+_TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*((?:(?!spdx-license-identifier:)[^\r\n])*)", re.I)
 _TOKEN = re.compile(r"\s*(?:([()])|([A-Za-z0-9.+:-]+))")
+_NAMED = re.compile(r"(?=.*[a-z]).*[0-9-]|(?:mit|apache|bsd|isc|zlib|[al]?gpl|gfdl|mpl|epl|eupl|cddl|bsl|wtfpl|unlicense|proprietary|artistic|ncsa|postgresql|openssl|vim|ruby|python|x11|curl|beerware)$", re.I)
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
@@ -120,8 +121,49 @@ def evaluate(postfix: list) -> list[frozenset[str]] | None:
     return stack[0]
 
 
+def expression_prefix(text: str) -> str:
+    """The longest start of text that is an expression, or ""; text after it is prose.
+
+    A word after a small-letter `and`, `or` or `with`, or a first word in small letters, must look like a licence. Where
+    licences and operators alone fill the text, nothing parses: what they mean is open.
+    """
+    at, end, depth, want, prose = 0, 0, 0, True, False
+    begun, last = False, ""
+    while m := _TOKEN.match(text, at):
+        paren, word = m.groups()
+        word = (word or "").rstrip(".:-")
+        stop = bool(m[2]) and len(word) < len(m[2])  # a full stop ends the expression
+        if m[2] and not word:
+            prose = True
+            break
+        operator = word.lower() in _RANK
+        if paren == "(" and want:
+            depth += 1
+        elif paren == ")" and not want and depth:
+            depth -= 1
+        elif operator and not want:
+            want, last = True, word
+        elif word and not operator and want and (_NAMED.match(word) or (last.isupper() if last else not word.islower())):
+            want, begun = False, True
+        else:
+            prose = paren == ")" and not want or bool(word) and not operator and not _NAMED.match(word)
+            if not prose:  # licences without an operator between, up to the end or prose
+                while m and (m[1] or m[2].lower() in _RANK or _NAMED.match(m[2])):
+                    at = m.end()
+                    m = _TOKEN.match(text, at)
+                prose = bool(text[at:].strip())
+            break
+        at = m.end() - (len(m[2]) - len(word) if m[2] else 0)
+        if begun and not want and not depth:
+            end = at
+        if stop:
+            prose = True
+            break
+    return text[:end] if prose or text[at:].strip() else ""
+
+
 def expression_labels(text: str) -> set[str]:
-    postfix = parse_expression(text)
+    postfix = parse_expression(text.strip().rstrip(".")) or parse_expression(expression_prefix(text))
     choices = evaluate(postfix) if postfix else None
     return set().union(*choices) if choices else {"unknown"}
 

@@ -97,6 +97,11 @@ def test_license_expressions(text, labels):
     assert row[5] == labels and 0 < row[6] <= 1
 
 
+@pytest.mark.parametrize("text,labels", [("Apache-2.0 This file is part of it", "apache-2.0"), ("MIT, see LICENSE", "mit"), ("MIT */ int x;", "mit"), ("MIT.", "mit"), ("MIT. All of it", "mit"), ("MIT see LICENSE", "mit"), ("MIT OR Apache-2.0 at your option", "apache-2.0,mit"), ("(MIT OR Beerware) see it", "beerware,mit"), ("MIT and see LICENSE", "mit"), ("GPL-2.0 WITH Classpath-exception-2.0; x", "gpl-2.0-with-classpath-exception-2.0"), ("MIT --> <p>x", "mit"), ("MIT and (see it", "mit"), ("MIT Apache Software", "mit"), ("see the file", "unknown"), ("MIT) and more", "mit"), ("MIT 2020", "mit"), ("MIT x SPDX-License-Identifier: ISC y", "isc,mit")])
+def test_license_expressions_before_prose(text, labels):
+    assert license.scan(f"one line SPDX-License-Identifier: {text}".encode(), license.automaton())[5] == labels
+
+
 def test_license_precedence():
     assert license.evaluate(license.parse_expression("a or b and c")) == [frozenset("a"), frozenset("bc")]
     assert license.evaluate(license.parse_expression("(a or b) and c")) == [frozenset("ac"), frozenset("bc")]
