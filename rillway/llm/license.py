@@ -111,8 +111,6 @@ def evaluate(postfix: list) -> list[frozenset[str]] | None:
         if x[0] == "or":
             stack.append(list(dict.fromkeys(a + b)))
         elif x[0] == "and":
-            if len(a) * len(b) > 4096:
-                return None
             stack.append(list(dict.fromkeys(p | q for p in a for q in b)))
         else:
             if len(a) != 1 or len(b) != 1 or len(a[0]) != 1 or len(b[0]) != 1:
@@ -121,6 +119,27 @@ def evaluate(postfix: list) -> list[frozenset[str]] | None:
     return stack[0]
 
 
+def labels_of(postfix: list) -> set[str] | None:
+    """The licences of all choices, which are not expanded; None where `with` does not join two licences."""
+    stack: list[set[str]] = []
+    for x in postfix:
+        if isinstance(x, str):
+            stack.append({x})
+            continue
+        b, a = stack.pop(), stack.pop()
+        if x[0] == "with":
+            if len(a) != 1 or len(b) != 1:
+                return None
+            stack.append({f"{next(iter(a))}-with-{next(iter(b))}"})
+        elif len(a) < len(b):
+            b |= a
+            stack.append(b)
+        else:
+            a |= b
+            stack.append(a)
+    return stack[0]
+
+
 def expression_prefix(text: str) -> str:
     """The longest start of text that is an expression, or ""; text after it is prose.
 
@@ -164,8 +183,7 @@ def expression_prefix(text: str) -> str:
 
 def expression_labels(text: str) -> set[str]:
     postfix = parse_expression(text.strip().rstrip(".")) or parse_expression(expression_prefix(text))
-    choices = evaluate(postfix) if postfix else None
-    return set().union(*choices) if choices else {"unknown"}
+    return postfix and labels_of(postfix) or {"unknown"}
 
 
 def automaton():

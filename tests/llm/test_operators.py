@@ -107,6 +107,12 @@ def test_license_precedence():
     assert license.evaluate(license.parse_expression("(a or b) and c")) == [frozenset("ac"), frozenset("bc")]
 
 
+def test_license_labels_of_many_choices():
+    text = " and ".join(f"(a{k} or b{k})" for k in range(30))
+    assert license.expression_labels(text) == {f"{x}{k}" for x in "ab" for k in range(30)}
+    assert license.expression_labels("(a or a) with b") == {"a-with-b"}
+
+
 # 3
 
 
