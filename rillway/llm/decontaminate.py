@@ -11,6 +11,9 @@ than the budget.
 2. There, q-grams are counted per item in diagonal bands of twice the budget that overlap by half.
 3. Bands that meet the bound are verified by banded alignment.
 
+The lemma gives no bound to items of up to 7 and, at 8 % edits, of 13 to 15 characters: the first are sought as
+whole words, the others by pieces of which one must be unchanged, and verified.
+
 The items are sent to all tasks; their size is checked (`max_item_bytes`). Beyond it they are worked through in slices, each a pass over the texts.
 
 Defined results: null text is empty; an item of which fewer than `least` characters remain, or null, matches nothing; a text that holds
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,13 +81,14 @@ class Items:
 
     def __init__(self, items: list[tuple[int, bytes]], edits: float, least: int) -> None:
         kept = [(i, plain(t)) for i, t in items if t is not None]
-        kept = [(i, t) for i, t in kept if len(t) >= least]
+        kept = [(i, t) for i, t in kept if len(t) >= max(1, least)]
         self.ids = np.array([i for i, _ in kept], np.int64)
         self.texts = [t for _, t in kept]
         self.len = np.array([len(t) for t in self.texts], np.int64)
         self.budget = np.floor(self.len * edits).astype(np.int64)
         self.need = self.len + 1 - Q * (self.budget + 1)
-        g = [grams(t) for t in self.texts]
+        self.short = self._short()
+        g = [grams(t) if n > 0 else grams(b"") for t, n in zip(self.texts, self.need)]
         all_ = np.concatenate(g) if g else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(g)), [len(x) for x in g])
         pos = np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64)
@@ -93,12 +98,46 @@ class Items:
         # classes of items of about one length share a running sum, and have their own postings
         self.classes = []
         order = np.argsort(self.len)
+        order = order[self.need[order] > 0]
         for part in np.array_split(order, min(6, len(order))) if len(order) else []:
             rows = np.flatnonzero(np.isin(item, part))
             rows = rows[np.argsort(gram[rows], kind="stable")]
             count = np.bincount(gram[rows], minlength=len(self.values))
             self.classes.append((int((self.len + self.budget)[part].max()), int(self.need[part].min()), item[rows], pos[rows], np.cumsum(count) - count, count))
 
+    def _short(self):
+        """An automaton of the items for which the lemma gives no bound, or None; it has (item, place in it) by piece.
+
+        Items without a budget stand as words; of others, one of budget + 1 pieces stands unchanged.
+        """
+        a = ahocorasick.Automaton()
+        pieces: dict[str, list[tuple[int, int]]] = {}
+        for it in np.flatnonzero(self.need <= 0).tolist():
+            t, n = self.texts[it].decode("latin-1"), int(self.budget[it]) + 1
+            cuts = [k * len(t) // n for k in range(n + 1)]
+            for b, e in zip(cuts, cuts[1:]) if n > 1 else [(-1, 0)]:
+                pieces.setdefault(t[b:e] if n > 1 else f" {t} ", []).append((it, b))
+        for p, of in pieces.items():
+            a.add_word(p, (len(p), of))
+        a.make_automaton()
+        return a if pieces else None
+
+    def search_short(self, text: bytes) -> Iterator[tuple[int, int]]:
+        """(item number, distance) of items for which the lemma gives no bound; text is plain and whole."""
+        best: dict[int, int] = {}
+        for end, (size, of) in self.short.iter(f" {text.decode('latin-1')} "):
+            for it, place in of:
+                if best.get(it) == 0:
+                    continue
+                if place < 0:
+                    best[it] = 0
+                    continue
+                budget, start = int(self.budget[it]), end - size - place  # of the item in text
+                d = aligned(self.texts[it], text[max(0, start - budget) : start + int(self.len[it]) + budget], budget)
+                if d is not None:
+                    best[it] = min(d, best.get(it, d))
+        yield from best.items()
+
     @staticmethod
     def _slot(g: np.ndarray) -> np.ndarray:
         return (g * _C) >> np.uint64(64 - _BITS)
@@ -194,6 +233,10 @@ def _hits(found: Items, texts: list[bytes]) -> dict[tuple[int, int], int]:
         for doc, it, d in found.search(held):
             key = (rows[doc], it)
             out[key] = min(d, out.get(key, d))
+    if found.short:
+        for k, t in enumerate(texts):
+            for it, d in found.search_short(plain(t)):
+                out[k, it] = d
     return out
 
 
@@ -205,7 +248,7 @@ def item_slices(bench: DataFrame, id_col: str, text_col: str, max_item_bytes: in
     return [[(r.i, bytes(r.t)) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()] for k in range(n)]
 
 
-def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = 0.08, least: int = 48, max_item_bytes: int = 32 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = 0.08, least: int = 1, max_item_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, item_id, distance of every item that stands in a document with at most edits * length edits."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t"))
 
@@ -226,7 +269,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
     return out
 
 
-def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = 0.08, least: int = 48, max_item_bytes: int = 32 << 20) -> DataFrame:
+def drop_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = 0.08, least: int = 1, max_item_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs that hold no item; no shuffle."""
 
     def keeper(items, at):

@@ -392,6 +392,23 @@ def test_decontamination_in_long_texts(spark, docs):
     assert decontaminate.drop_leaks(docs, bench).count() == docs.count()
 
 
+def test_decontamination_of_short_items(spark):
+    rng = random.Random(12)
+    items = [(k, "".join(rng.choice("abcdefghij") for _ in range(n)), 1) for k, n in enumerate(range(8, 48))]
+    rows = []
+    for k, t, _ in items:
+        for edit in range(3):
+            p = rng.randrange(len(t))
+            rows.append((len(rows), "zz " + (t if not edit else t[:p] + "q" * (edit - 1) + t[p + 1 :]) + " zz yy"))
+    bench = spark.createDataFrame(items + [(90, "art", 1), (91, "Why?", 1), (92, "?!", 1)], "item_id long, text string, doc_id int")
+    rows += [(500, "start arts"), (501, "so: art. why"), (502, None), (503, LONG + " art " + LONG)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(d, i): k for d, t in rows[:-4] for i, s, _ in items if (k := edits(s, t)) <= int(len(s) * 0.08)}
+    want |= {(501, 90): 0, (501, 91): 0, (503, 90): 0}
+    assert {(r.doc_id, r.item_id): r.distance for r in decontaminate.find_leaks(df, bench).collect()} == want
+    assert {r.doc_id for r in decontaminate.drop_leaks(df, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 # 10
 
 
