@@ -285,6 +285,39 @@ def test_bpe_equals_the_tokenizer(spark, docs, nothing):
     assert bpe.encode_digests(nothing).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1, 2, 3, 10])
+def test_bpe_joins_at_every_chunk_edge(bits):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bpe.default_path())
+    tok.no_truncation(), tok.no_padding()
+    coder, rng = bpe.Coder(bpe.default_path(), bits=bits), random.Random(bits)
+    texts = ["nn<|endofTEXT|> tail", "1h<|endofTEXT|> tail", "", " ", "a", "x" * 5000, "\x01 \x02 a"]
+    for _ in range(400):
+        special = rng.choice(["<|endoftext|>", "<|startoftext|>"])
+        special = "".join(x.upper() if rng.random() < rng.choice([0, 0.3]) else x for x in special)
+        texts.append("".join(rng.choice(["ab", "N ", "1h", " ", "é", "漢", "'S", "!!", "\n", "<|", special, special, "Xy", " ", "İ", "ß"]) for _ in range(rng.randint(1, 25))))
+    for t in texts:
+        ids = coder.encode(t.encode())
+        assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, t
+        assert coder.decode(ids).decode() == tok.decode(ids.tolist(), skip_special_tokens=False)
+    assert coder.repaired
+
+
+def test_bpe_windows_grow_until_both_sides_agree():
+    coder = bpe.Coder(bpe.default_path(), bits=2)
+    text = b"some words here and a few more of them to be cut by chunks"
+    want = coder.encode(text).tolist()
+    right = coder._chunk
+
+    def wrong(chunk):  # ids beside the joins that no window gives
+        head, words, ids, tail, space = right(chunk)
+        return head, words, [b"\0" * 4] * len(ids), tail, space
+
+    coder._chunk = wrong
+    assert coder.encode(text).tolist() == want and coder.widened
+
+
 # 8
 
 
