@@ -246,6 +246,29 @@ def test_gray_index():
     assert set(zip(q.tolist(), n.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(np.bitwise_count(f[:, None] ^ f) <= 3))))
 
 
+@pytest.mark.parametrize("upper", [64, 1, 0])
+def test_gray_index_over_masked_groups(upper):
+    rng = np.random.default_rng(8)
+    f = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    f = f[simhash.gray_order(f)]
+    groups = np.array_split(f, 200)
+    both, some = (np.array([op.reduce(g) for g in groups]) for op in (np.bitwise_and, np.bitwise_or))
+    mask = ~(both ^ some)
+    q, n = simhash.GrayIndex(both & mask, mask).within(f[::7], 3, upper)
+    diff = (f[::7][:, None] ^ both) & mask
+    want = np.nonzero((np.bitwise_count(diff) <= 3) & (np.bitwise_count(diff >> np.uint64(32)) <= upper))
+    assert set(zip(q.tolist(), n.tolist())) == set(zip(*(x.tolist() for x in want))) and len(q) < diff.size
+
+
+def test_simhash_repeated_ids(spark):
+    a, b = "one two three four five six seven", "an entirely other text about some other thing"
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "y"), (2, a, "x"), (3, b, "x"), (3, None, "x"), (None, a, "x"), (None, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    assert sorted(((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(df).collect())) == [(0, 1), (0, 1), (1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (3, 3)]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_one(df).collect())
+    assert kept == sorted([(0, a), (0, a), (1, b), (1, a), (3, "")])
+
+
 # 6
 
 
