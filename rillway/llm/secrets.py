@@ -2,16 +2,19 @@
 
 Base patterns: assignments of a key name to 12 characters or more, access key ids, and runs of
 16 or more lower-case hex digits. Besides, candidate strings (runs of 20 or more of A-Za-z0-9+/_=-) are
-scanned with a window of `WINDOW` characters: the sum of c * log2(c) over the counts of the characters in it is
-carried from one window to the next by what the leaving and the entering character change, so the entropy of
-each window costs a constant number of steps. A candidate is a secret if a window that overlaps no placeholder reaches the
+scanned with a window of `WINDOW` characters: the counts of the characters in it, packed into six longs, and the sum of c * log2(c) over them, in
+whole numbers, are carried from one window to the next by what the leaving and the entering character change, so each window
+costs a constant number of steps, and no rounding adds up. A candidate is a secret if a window that overlaps no placeholder reaches the
 threshold of its character class, the class being that of all characters up to the next placeholder. Left out are
 what consists of words of one case, capitalised or in camel case without digits, paths from / or // on whose words end in
 digits at most, plain numbers and UUIDs.
 
 Spans are kind:start:end in code points, the end exclusive, by start and then kind.
 
-Defined results: null text is empty and has no spans; repeated rows each get a row; an empty table gives an
+Positions come from running sums over the matches in log2(n) rounds, redacted texts from pieces of `CHUNK` characters: no
+array and no text grows step by step, so long texts and long runs take time in proportion (up to that logarithm).
+
+Defined results: null text is empty and has no spans; very long texts and runs are scanned whole; repeated rows each get a row; an empty table gives an
 empty result; other columns are ignored by scan() and kept by redact().
 """
 
@@ -41,8 +44,27 @@ NUMBERS = r"^[0-9_=/+-]+$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 #: Not so in words: a capital within one that has no small letter behind it; more than one before a small one; a digit before a letter.
 NO_WORD = r"[a-z][A-Z](?![a-z])|[A-Z]{2}[a-z]"
 NO_NUMBER = r"[0-9][A-Za-z]"
-#: Characters of a run that are judged at once; those of longer ones overlap by a window less one.
-PIECE = 256
+#: Characters of a piece of text from which redacted texts are put together.
+CHUNK = 4096
+#: Where the count of each ASCII character of a candidate is kept: 64 * (which long) + (its first bit); five bits hold counts up to 31.
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_SLOT = [64 * (_ALPHABET.find(chr(c)) // 12) + 5 * (_ALPHABET.find(chr(c)) % 12) if chr(c) in _ALPHABET else 64 * 5 + 55 for c in range(128)]
+_ONE = 1 << 40
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running(values: Column, join=lambda a, b: a + b) -> Column:
+    """The sums (or other joins) of each element of array<int> and all before it, by doubling steps."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def step(acc, k):
+        return F.transform(acc, lambda x, i: join(x, F.coalesce(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))))
+
+    return F.aggregate(rounds, values, step)
 
 
 def _spans(text: Column, pattern: str, kind: int, found: Column, keep: Column | None = None) -> Column:
@@ -50,45 +72,45 @@ def _spans(text: Column, pattern: str, kind: int, found: Column, keep: Column |
 
     The pieces between matches give the positions; keep: array<boolean> beside found.
     """
-    pieces = F.split(text, pattern, -1)
-    sizes = F.zip_with(F.transform(F.slice(pieces, 1, F.size(found)), F.length), F.transform(found, F.length), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    sizes = F.arrays_zip(sizes.alias("s"), (keep if keep is not None else F.transform(found, lambda _: F.lit(True))).alias("k"))
-    kind_type = "array<struct<start:int,kind:int,end:int>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind_type).alias("out"))
+    sizes = F.transform(found, F.length)
+    ends = running(F.zip_with(F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), F.length), sizes, lambda p, m: p + m))
+    spans = F.zip_with(ends, sizes, lambda e, m: F.struct((e - m).alias("start"), F.lit(kind).alias("kind"), e.alias("end")))
+    if keep is not None:
+        spans = F.transform(F.filter(F.zip_with(spans, keep, lambda s, k: F.struct(s.alias("s"), k.alias("k"))), lambda x: x["k"]), lambda x: x["s"])
+    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
-    def step(acc, x):
-        start = acc["at"] + x["s"]["p"]
-        end = start + x["s"]["m"]
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["k"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(sizes, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind_type))
+def entropy(c: Column, window: int = WINDOW) -> Column:
+    """Largest Shannon entropy, in bits, of a window over the ASCII string c (all of it if it is shorter)."""
+    if not 0 < window < 32:
+        raise ValueError("a window of 1 to 31 characters")
+    xlog = [0 if n < 2 else round(n * math.log2(n) * _ONE) for n in range(window + 2)]
+    # what the n-th of equal characters adds
+    gain = F.array(*[F.lit(a - b).cast("bigint") for a, b in zip(xlog, [0, *xlog])])
+    slots = F.transform(F.split(c, "", -1), lambda ch: F.get(F.array(*[F.lit(x) for x in _SLOT]), F.ascii(ch)))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("sum"), F.lit(2**62).cast("bigint").alias("low"), *[F.lit(0).cast("bigint").alias(f"n{j}") for j in range(6)])
 
+    def scan(slots):
+        w = F.least(F.lit(window), F.size(slots))
 
-def entropy(c: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy, in bits, of a window over the string c (all of it if it is shorter)."""
-    w = F.least(F.lit(window), F.length(c))
-    chars = F.split(c, "", -1)
-    xlog = F.array(*[F.lit(0.0 if n < 2 else n * math.log2(n)) for n in range(window + 2)])
+        def count(acc, slot):
+            word = F.get(F.array(*[acc[f"n{j}"] for j in range(6)]), F.shiftright(slot, 6))
+            return F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(31).cast("bigint")).cast("int")
 
-    def count(piece: Column, ch: Column) -> Column:
-        return F.length(piece) - F.length(F.replace(piece, ch, F.lit("")))
+        def bit(slot, j):
+            return F.when(F.shiftright(slot, 6) == j, F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("bigint"))
 
-    first = F.substring(c, 1, window)
-    start = F.aggregate(F.transform(F.array_distinct(F.slice(chars, 1, w)), lambda ch: F.get(xlog, count(first, ch))), F.lit(0.0), lambda a, x: a + x)
-    zero = F.struct(start.alias("sum"), start.alias("low"))
+        def step(acc, slot):  # the character at `at` enters, the one w before it leaves
+            gone = F.coalesce(F.get(slots, acc["at"] - w), F.lit(-64))
+            moved = acc["sum"] - F.coalesce(F.get(gain, count(acc, gone)), F.lit(0).cast("bigint")) + F.get(gain, count(acc, slot) + 1)
+            total = F.when(gone == slot, acc["sum"]).otherwise(moved)
+            counts = [(acc[f"n{j}"] - bit(gone, j) + bit(slot, j)).alias(f"n{j}") for j in range(6)]
+            # `low` takes in the sum of the window before; the last one follows at the end
+            return F.struct((acc["at"] + 1).alias("at"), total.alias("sum"), F.when(acc["at"] >= w, F.least(acc["low"], acc["sum"])).otherwise(acc["low"]).alias("low"), *counts)
 
-    def step(acc, i):  # the window [i, i + w) of code points from 1 on, after [i - 1, i - 1 + w)
-        before = F.substr(c, i - 1, w)
-        out, in_ = F.substr(c, i - 1, F.lit(1)), F.substr(c, i + w - 1, F.lit(1))
-        n_out, n_in = count(before, out), count(before, in_)
-        moved = acc["sum"] - F.get(xlog, n_out) + F.get(xlog, n_out - 1) - F.get(xlog, n_in) + F.get(xlog, n_in + 1)
-        total = F.when(out == in_, acc["sum"]).otherwise(moved)
-        return F.struct(total.alias("sum"), F.least(acc["low"], total).alias("low"))
+        return F.aggregate(slots, zero, step, lambda acc: F.log2(w.cast("double")) - F.least(acc["low"], acc["sum"]).cast("double") / _ONE / w)
 
-    windows = F.when(F.length(c) > w, F.sequence(F.lit(2), F.length(c) - w + 1)).otherwise(F.array().cast("array<int>"))
-    low = F.aggregate(windows, zero, step, lambda acc: acc["low"])
-    return F.log2(w.cast("double")) - low / w
+    return let(slots, scan)
 
 
 def _high(c: Column) -> Column:
@@ -98,8 +120,7 @@ def _high(c: Column) -> Column:
         hexa, upper = p.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), p.rlike("^[0-9A-Z]+$")
         need = F.when(hexa, F.lit(THRESHOLD["hex"])).when(upper, F.lit(THRESHOLD["upper"])).otherwise(F.lit(THRESHOLD["mixed"]))
         words = (p.rlike(LETTERS) | p.rlike(PATH) & ~p.rlike(NO_NUMBER)) & ~p.rlike(NO_WORD)
-        pieces = F.transform(F.sequence(F.lit(1), F.length(p) - WINDOW + 1, F.lit(PIECE - WINDOW + 1)), lambda i: F.substr(p, i, F.lit(PIECE)))
-        return F.when((F.length(p) < WINDOW) | p.rlike(NUMBERS) | words, F.lit(False)).otherwise(F.exists(pieces, lambda x: entropy(x) >= need))
+        return F.when((F.length(p) < WINDOW) | p.rlike(NUMBERS) | words, F.lit(False)).otherwise(entropy(p) >= need)
 
     return F.exists(F.split(c, PLACEHOLDER, -1), part)
 
@@ -145,14 +166,22 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     # one struct holds the rows as they are, so that no name of theirs clashes
     df = with_spans(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text")))
     old = {c: F.col("row").getField(c) for c in docs.columns}
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        piece = F.concat(acc["out"], F.substr("__t", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        cut = F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), cut.alias("out"))
-
-    clean = F.aggregate("__spans", zero, step, lambda acc: F.concat(acc["out"], F.substr("__t", acc["at"] + 1, F.length("__t"))))
+    df = df.withColumn("__pieces", F.when(F.size("__spans") > 0, F.regexp_extract_all("__t", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+
+    def between(a, b):
+        """The characters from a up to b."""
+        first = F.floor(a / CHUNK).cast("int")
+        some = F.array_join(F.slice("__pieces", first + 1, F.floor(F.greatest(b - 1, a) / CHUNK).cast("int") - first + 1), "")
+        return F.when(b > a, F.substr(some, a - first * CHUNK + 1, b - a)).otherwise(F.lit(""))
+
+    def put(ends):
+        """ends: the largest end of each span and all before it."""
+        before = F.transform(ends, lambda _, i: F.coalesce(F.get(ends, i - 1), F.lit(0)))
+        cuts = F.filter(F.zip_with("__spans", before, lambda s, e: F.struct(e.alias("a"), s["start"].alias("b"))), lambda x: x["b"] >= x["a"])
+        kept = F.transform(cuts, lambda x: F.concat(between(x["a"], x["b"]), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), between(F.element_at(ends, -1), F.length("__t")))
+
+    clean = let(running(F.transform("__spans", lambda s: s["end"]), F.greatest), put)
     hit = F.size("__spans") > 0
     new = {text_col: F.when(hit, clean).otherwise(old[text_col].cast("string"))}
     if "n_chars" in docs.columns:

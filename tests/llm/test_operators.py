@@ -399,6 +399,46 @@ def test_secrets_allow_list(spark):
     assert not [c[:60] for k, c in enumerate(plain, len(secret)) if "entropy" in got[k].spans]
 
 
+def test_secrets_time_and_redaction_of_long_texts(spark):
+    rng = random.Random(5)
+    key = lambda n: "".join(rng.choice("ABCDEFabcdef0123456789+/xyzXYZ") for _ in range(n))
+    texts = [" ".join(rng.choice(["🙂", "word", "token=" + key(14), "AKIA" + "Z9" * 8, "deadbeef" * 3, "é" * 50]) for _ in range(n)) for n in (3, 300, 5000)]
+    texts += [key(300_000), "x " + key(5000) + " token=abcdefghijklmn" + key(3), "a" * 4096 + " token=abcdefghijklmn", "token=abcdefghijklmn" + "b " * 4096]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans, clean = by_id(secrets.scan(df)), by_id(secrets.redact(df))
+    for k, t in enumerate(texts):
+        want, at = "", 0
+        for s in filter(None, spans[k].spans.split(",")):
+            a, z = map(int, s.split(":")[1:])
+            if a >= at:
+                want += t[at:a] + "[SECRET]"
+            at = max(at, z)
+        assert clean[k].text == want + t[at:] and spans[k].spans
+        base = [s for s in spans[k].spans.split(",") if not s.startswith("entropy")]
+        assert base == [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in brute_secrets(t)]
+
+
+def test_secrets_high_entropy_against_brute_force(spark):
+    rng = random.Random(15)
+    sets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghij0K", "aB3dE5fG7hJ9kL"]
+    runs = ["".join(rng.choice(rng.choice(sets)) for _ in range(rng.randint(20, 70))) for _ in range(60)]
+    runs += ["".join(rng.choice(s) for _ in range(rng.randint(20, 70))) for s in sets for _ in range(15)]
+
+    def high(c):
+        parts = re.split(secrets.PLACEHOLDER.replace("(?i)(", "(?i)(?:"), c)
+        for p in parts:
+            need = secrets.THRESHOLD["hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", p) else "upper" if re.fullmatch("[0-9A-Z]+", p) else "mixed"]
+            words = (re.search(secrets.LETTERS, p) or re.search(secrets.PATH, p) and not re.search(secrets.NO_NUMBER, p)) and not re.search(secrets.NO_WORD, p)
+            if len(p) >= secrets.WINDOW and not re.search(secrets.NUMBERS, p) and not words and brute_entropy(p) >= need:
+                return True
+        return False
+
+    df = spark.createDataFrame([(k, f"( {c} )") for k, c in enumerate(runs)], "doc_id long, text string")
+    got = by_id(secrets.scan(df))
+    want = [high(c) for c in runs]
+    assert [f"entropy:2:{2 + len(c)}" in got[k].spans.split(",") for k, c in enumerate(runs)] == want and 20 < sum(want) < len(want)
+
+
 # 9
 
 
