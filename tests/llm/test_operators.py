@@ -481,6 +481,25 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.find_leaks(df.where("false"), bench).count() == 0 and decontaminate.find_leaks(df, bench.where("false")).count() == 0
 
 
+def test_decontamination_alignment_against_brute_force():
+    rng = random.Random(13)
+    for _ in range(400):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(1, 20)))
+        b = "".join(rng.choice("abc") for _ in range(rng.randint(0, 30)))
+        want = edits(a, b)
+        for budget in range(6):
+            assert decontaminate.aligned(a.encode(), b.encode(), budget) == (want if want <= budget else None)
+
+
+def test_decontamination_repeated_rows(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs away"
+    bench = spark.createDataFrame([(1, text), (2, text), (2, text)], "item_id long, text string")
+    df = spark.createDataFrame([(1, text), (1, text), (1, "other"), (None, text)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id) for r in decontaminate.find_leaks(df, bench).collect())
+    assert got == sorted([(d, i) for d in (0, 1, 1) for i in (1, 2, 2)])
+    assert [tuple(r) for r in decontaminate.drop_leaks(df, bench, max_item_bytes=60).collect()] == [(1, "other")]
+
+
 def test_decontamination_in_long_texts(spark, docs):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog and runs away from the hound")], "item_id long, text string")
     rows = spark.createDataFrame([(1, LONG + "The quick brown fox jumps over the lazy dog, and runs away from the hound! " + LONG)], "doc_id long, text string")
