@@ -7,6 +7,7 @@ intermediate tables are cut into the folder that the cluster shares.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir; where that is unset a temporary one, but only if all of Spark is one process here."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
         own = spark.conf.get("spark.rillway.scratch", None)
     if not own:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = f"file://{tempfile.mkdtemp(prefix='rillway-')}"
         spark.conf.set("spark.rillway.scratch", own)
     return own
@@ -172,7 +175,11 @@ def grouped(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[dict
                     out.append(flat.reshape(len(c), -1))
             return np.concatenate(out)
         if fields.get(name) == "ragged":
-            return [np.array(x) for c in parts for x in c.to_pylist()]
+            out = []
+            for c in parts:
+                flat, ends = c.flatten().to_numpy(zero_copy_only=False), np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))
+                out += [flat[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            return out
         return np.concatenate(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

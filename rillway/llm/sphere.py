@@ -11,12 +11,16 @@ the number of new partners of each vector and spanning edges, and no pair is emi
 more than `group_cap` vectors are cut into chunks and all pairs of chunks are compared.
 Equal vectors are one class; its members count as links of one another.
 
-The filters are random: a pair at the threshold is missed with a small probability (see README
-for the measured recall). Vectors of few dimensions (below 8) share one filter, which is exact.
+The filters are random: a pair at the threshold is missed with a probability of about `miss`, a nearer one with much less: `turns_for` measures how
+often a pair at the threshold shares a filter of one code, and takes as many codes, each with its own rotation, as that needs. The threshold of a
+code is that of a cap with the share of the sphere it is to have, so it holds for any number of vectors.
+Vectors of few dimensions (below 8) share one filter, which is exact.
+
+Comparisons are made in single precision with a margin for its error; within the margin, in double precision.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components has no links
-and is its own component; vectors of different lengths never link; rows with a null id are left out;
-repeated ids of equal vectors count as links of one another; other columns are ignored.
+and is its own component; vectors of different lengths never link; a row with a null id is returned without links and component, and kept;
+repeated ids of equal vectors count as links of one another, those of unlike vectors are vectors of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +38,16 @@ from .components import components
 from .simhash import flatten
 
 
+def cap_height(dim: int, share: float) -> float:
+    """The height at which a cap holds that share of the unit sphere."""
+    angle = np.linspace(0, np.pi, 100_001)[1:-1]
+    log = (dim - 2) * np.log(np.sin(angle))
+    area = np.cumsum(np.exp(log - log.max()))
+    # of small shares the area is even smaller than the steps
+    at = int(np.searchsorted(area, share * area[-1]))
+    return math.cos(angle[min(at, len(angle) - 1)])
+
+
 class ProductCode:
     """Directions made of one codeword a block; decode() lists those above the threshold.
 
@@ -50,10 +64,7 @@ class ProductCode:
         for a, b in zip(self.edges, self.edges[1:]):
             c = rng.standard_normal((size, b - a))
             self.codes.append(c / np.linalg.norm(c, axis=1, keepdims=True) / math.sqrt(n_blocks))
-        x = rng.standard_normal((2000, dim))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        pick = sum(p[:, rng.integers(0, size, 200)] for p in self._parts(x))
-        self.threshold = float(np.quantile(pick, 1 - least / size**n_blocks))
+        self.threshold = cap_height(dim, least / size**n_blocks)
 
     def _parts(self, unit: np.ndarray) -> list[np.ndarray]:
         y = unit @ self.turn
@@ -78,47 +89,67 @@ class ProductCode:
         return v, code
 
 
-def unit(x: np.ndarray) -> np.ndarray:
+def scaled(x: np.ndarray) -> np.ndarray:
+    """x with each row divided by a power of two, so that its squares neither overflow nor vanish and no digit changes."""
     x = x.astype(np.float64)
-    x = x / np.abs(x).max(1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _decoded(vectors: DataFrame, size: int, least: int, turns: int, kind: str) -> DataFrame:
-    """(rep, n, v, dim, filters) of each class; filters ascending."""
+def turns_for(dim: int, size: int, least: int, threshold: float, miss: float, pairs: int = 300) -> int:
+    """How many codes a pair at the threshold needs so that it shares no filter with a probability of `miss`."""
+    if dim < 8:
+        return 1
+    rng = np.random.default_rng((5, dim))
+    x, e = unit(rng.standard_normal((pairs, dim))), rng.standard_normal((pairs, dim))
+    e = unit(e - (e * x).sum(1, keepdims=True) * x)
+    y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * e
+    shared = 0
+    for t in range(3):
+        code = ProductCode(dim, size, least, seed=11 + t)
+        a, b = (set(zip(*(z.tolist() for z in code.decode(v)))) for v in (x, y))
+        shared += len({v for v, _ in a & b})
+    p = min(0.999, max(0.05, shared / (3 * pairs)))
+    return max(2, math.ceil(math.log(miss) / math.log(1 - p)))
+
+
+def _decoded(vectors: DataFrame, size: int, least: int, turns: dict[int, int]) -> DataFrame:
+    """(cls, rep, n, v, dim, filters) of each class; filters ascending."""
 
     def run(batches):
         codes: dict[int, list[ProductCode]] = {}
         for b in batches:
-            rep, n, v = b.column(0), b.column(1), b.column(2)
-            dims = np.array(pc.list_value_length(v).to_numpy(zero_copy_only=False), np.int64)
+            v = b.column(3)
             lists: list = [None] * b.num_rows
+            dims = np.array(pc.list_value_length(v).to_numpy(zero_copy_only=False), np.int64)
             flat, offsets = v.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(dims)])
-            for d in np.unique(dims):
+            for d in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == d)
-                if d < 8:
-                    for r in rows:
-                        lists[r] = np.zeros(1, np.int64)
-                    continue
-                if d not in codes:
-                    codes[d] = [ProductCode(int(d), size, least, seed=11 + t) for t in range(turns)]
+                if d >= 8 and d not in codes:
+                    codes[d] = [ProductCode(d, size, least, seed=11 + t) for t in range(turns[d])]
                 for k in range(0, len(rows), 512):
                     part = rows[k : k + 512]
-                    x = flat[offsets[part][:, None] + np.arange(d)]
-                    found = [c.decode(unit(x)) for c in codes[d]]
-                    who = np.concatenate([w for w, _ in found])
-                    what = np.concatenate([f + t * size**2 for t, (_, f) in enumerate(found)])
+                    if d < 8:
+                        who, what = np.arange(len(part)), np.zeros(len(part), np.int64)
+                    else:
+                        x = unit(flat[offsets[part][:, None] + np.arange(d)])
+                        found = [c.decode(x) for c in codes[d]]
+                        who = np.concatenate([w for w, _ in found])
+                        what = np.concatenate([f + t * size**2 for t, (_, f) in enumerate(found)])
                     by = np.lexsort((what, who))
                     who, what = who[by], what[by]
-                    cuts = np.searchsorted(who, np.arange(len(part) + 1))
-                    for r, a, z in zip(part, cuts, cuts[1:]):
+                    edges = np.searchsorted(who, np.arange(len(part) + 1))
+                    for r, a, z in zip(part.tolist(), edges, edges[1:]):
                         lists[r] = what[a:z]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-            flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32() if kind == "int" else pa.int64()))
-            yield pa.RecordBatch.from_arrays([rep, n, v, pa.array(dims), out], ["rep", "n", "v", "dim", "filters"])
+            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(dims), out], ["cls", "rep", "n", "v", "dim", "filters"])
 
-    return vectors.select("rep", "n", "v").mapInArrow(run, f"rep long, n long, v {vectors.schema['v'].dataType.simpleString()}, dim long, filters array<{kind}>")
+    return vectors.select("cls", "rep", "n", "v").mapInArrow(run, f"cls long, rep long, n long, v {vectors.schema['v'].dataType.simpleString()}, dim long, filters array<long>")
 
 
 def _earlier(lists: list[np.ndarray], who: np.ndarray, f: int) -> np.ndarray:
@@ -135,15 +166,30 @@ def _earlier(lists: list[np.ndarray], who: np.ndarray, f: int) -> np.ndarray:
     return out
 
 
+def _near(x: np.ndarray, u: np.ndarray, at: slice, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x[at], rows of x) with a cosine of threshold or more; u: the unit vectors of x in single precision."""
+    margin = 8 * x.shape[1] * np.finfo(np.float32).eps
+    cos = u[at] @ u.T
+    i, j = np.nonzero(cos >= threshold - margin)
+    open_ = np.flatnonzero(cos[i, j] < threshold + margin)
+    i = i + at.start
+    ok = np.ones(len(i), bool)
+    for k in range(0, len(open_), 1 << 14):
+        some = open_[k : k + (1 << 14)]
+        a, b = x[i[some]], x[j[some]]
+        ok[some] = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1)) >= threshold
+    return i[ok], j[ok]
+
+
 def _compare(threshold: float):
     def link(g: dict[str, np.ndarray]) -> list[dict]:
-        x, rep, n, f = unit(g["v"]), g["rep"], g["n"], int(g["f"][0])
+        x, cls, n, f = scaled(g["v"]), g["cls"], g["n"], int(g["f"][0])
+        u = unit(x).astype(np.float32)
         # rows of chunk pair (a, b), a < b: only pairs across; what lies in one chunk meets in (a, a)
         side = g["mine"] if g["c1"][0] != g["c2"][0] else None
         pairs = []
-        for k in range(0, len(x), 1024):
-            i, j = np.nonzero(x[k : k + 1024] @ x.T >= threshold)
-            i = i + k
+        for k in range(0, len(x), 512):
+            i, j = _near(x, u, slice(k, k + 512), threshold)
             ok = j < i
             if side is not None:
                 ok &= side[i] != side[j]
@@ -152,7 +198,7 @@ def _compare(threshold: float):
         if not len(i):
             return []
         who = np.unique(np.concatenate([i, j]))
-        lists = list(g["filters"])
+        lists = g["filters"]
         before = _earlier(lists, who, f)
         place = np.zeros(len(x), np.int64)
         place[who] = np.arange(len(who))
@@ -172,16 +218,16 @@ def _compare(threshold: float):
         links = np.bincount(i, n[j], len(x)) + np.bincount(j, n[i], len(x))
         label = flatten(np.arange(len(x)), i, j)
         at = np.flatnonzero(links)
-        return [{"rep": rep[at], "links": links[at].astype(np.int64), "low": rep[label[at]]}]
+        return [{"cls": cls[at], "links": links[at].astype(np.int64), "low": cls[label[at]]}]
 
     return link
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, turns: int = 12, least: int = 2, fill: int = 32, group_cap: int = 2000) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, miss: float = 1e-5, least: int = 2, fill: int = 256, group_cap: int = 2000) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
-    turns: independent codes, each with its own rotation; least: caps a vector falls into in each of them on average, and
-    at least; fill: vectors in a cap on average, from which the number of codewords follows.
+    miss: see above; least: caps a vector falls into in each code on average, and at least; fill: vectors in a cap on average, from which the
+    number of codewords follows.
     """
     spark = vectors.sparkSession
     single = dict(vectors.dtypes)[vector_col] == "array<float>"
@@ -189,27 +235,34 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     v = F.col(vector_col).cast(f"array<{kind}>")
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x).cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-    rows = rows.withColumn("v", F.when(F.coalesce(finite, F.lit(False)), F.col("v")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    rows = rows.withColumn("v", F.when(F.coalesce(finite, F.lit(False)) & F.col("vec_id").isNotNull(), F.col("v")))
     rows = rows.withColumn("v", F.when(F.coalesce(norm, F.lit(0.0)) > 0, F.transform("v", lambda x: x + F.lit(0.0).cast(kind))))
-    plain, p0 = cut(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    size = max(32, math.isqrt(plain.count() * least // fill) + 1)
-    classes, _ = cut(_decoded(plain, size, least, turns, "int" if turns * size**2 < 2**31 else "long"))
-    dealt = classes.select("rep", "n", "v", "dim", "filters", F.explode("filters").alias("f"))
+    # equal vectors are one class; its number is only a name, fixed by writing it down
+    plain, p0 = cut(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("cls", F.monotonically_increasing_id()))
+    size = max(16, math.isqrt(plain.count() * least // fill) + 1)
+    turns = {r.d: turns_for(r.d, size, least, threshold, miss) for r in plain.select(F.size("v").alias("d")).distinct().collect()}
+    classes, _ = cut(_decoded(plain, size, least, turns))
+    drop(spark, p0)
+    dealt = classes.select("cls", "n", "v", "dim", "filters", F.explode("filters").alias("f"))
     sizes = classes.select("dim", F.explode("filters").alias("f")).groupBy("dim", "f").count().where(F.col("count") > 1)
     dealt = dealt.join(sizes, ["dim", "f"])
     chunks = F.ceil(F.col("count") / F.lit(group_cap)).cast("int")
-    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("cls"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     dealt = dealt.withColumn("c1", F.least("mine", "other")).withColumn("c2", F.greatest("mine", "other"))
-    drop(spark, p0)
-    found, _ = cut(grouped(dealt, ["dim", "f", "c1", "c2"], [], _compare(threshold), "rep long, links long, low long", {"rep": "num", "n": "num", "v": "list", "filters": "ragged", "mine": "num"}))
-    comp, _ = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_class = classes.select("rep", "n", "v").join(counts, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    of_class = of_class.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    found, _ = cut(grouped(dealt, ["dim", "f", "c1", "c2"], [], _compare(threshold), "cls long, links long, low long", {"cls": "num", "n": "num", "v": "list", "filters": "ragged", "mine": "num"}))
+    comp, _ = components(found.select(F.col("cls").alias("a"), F.col("low").alias("b")))
+    comp = comp.select(F.col("id").alias("cls"), F.col("component").alias("label"))
+    counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    of_class = classes.join(counts, "cls", "left").join(comp, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    # the smallest id of all classes with a label; a class that is alone has its own
+    member = comp.union(comp.select(F.col("label").alias("cls"), "label").distinct()).join(classes.select("cls", "rep"), "cls")
+    least_of = member.groupBy("label").agg(F.min("rep").alias("least"))
+    of_class = of_class.join(least_of, "label", "left")
+    of_class = of_class.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
     good = rows.where("v is not null").join(of_class, "v").select("vec_id", "n_links", "component_id")
     bad = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.union(bad).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return good.union(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op4_embedding_near_dedup(spark, sf_dir):
@@ -225,6 +278,6 @@ pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b
 reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
 n AS (SELECT a, count(*) AS n FROM pairs GROUP BY a),
 c AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
-SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c.low, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(c.low, e.vec_id)) AS kept
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c.low, e.vec_id)) AS component_id, coalesce(e.vec_id = least(e.vec_id, coalesce(c.low, e.vec_id)), true) AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id"""
 }

@@ -191,13 +191,54 @@ def test_embeddings_against_brute_force(spark):
     near = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
     comp = components(len(u), np.argwhere(near))
     got = {r.vec_id: r for r in sphere.near_duplicates(df, group_cap=40).collect()}
-    assert len(got) == len(u) + 5
+    assert len(got) == len(u) + 6 and tuple(got[None]) == (None, 0, None, True)
     assert [got[i].n_links for i in range(len(u))] == near.sum(1).tolist() and [got[i].component_id for i in range(len(u))] == comp
     assert all(got[i].kept == (got[i].component_id == i) for i in range(len(u)))
     assert all(got[i].n_links == 0 and got[i].kept for i in range(200, 205))
     assert sphere.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_repeated_ids_ties_and_long_vectors(spark):
+    rng = np.random.default_rng(6)
+    long = rng.standard_normal((30, 900))
+    long[10:20] = long[:10] + 0.48 * rng.standard_normal((10, 900))  # about 0.9
+    tie = np.eye(10)[:3]
+    tie[1, :2] = 0.9, math.sqrt(1 - 0.9 * 0.9)
+    x = [*long, *tie, *rng.standard_normal((4, 3))]
+    ids = [*range(30), 50, 51, 52, 60, 61, 62, 63]
+    rows = [(i, v.tolist()) for i, v in zip(ids, x)] + [(0, long[5].tolist()), (5, long[5].tolist()), (51, long[25].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    u = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(len(rows)) if i != j and len(u[i]) == len(u[j]) and u[i] @ u[j] >= 0.9]
+    comp = components(len(rows), near)
+    least = {c: min(rows[i][0] for i in range(len(rows)) if comp[i] == c) for c in comp}
+    want = sorted((rows[k][0], sum(i == k for i, _ in near), least[comp[k]]) for k in range(len(rows)))
+    assert sorted(tuple(r)[:3] for r in sphere.near_duplicates(df).collect()) == want
+
+
+def test_cap_height_holds_its_share():
+    rng = np.random.default_rng(7)
+    for dim, share in ((8, 0.1), (64, 0.01)):
+        x = sphere.unit(rng.standard_normal((200_000, dim)))
+        assert abs((x[:, 0] >= sphere.cap_height(dim, share)).mean() / share - 1) < 0.1
+    code = sphere.ProductCode(64, 100, 2)
+    assert abs(len(code.decode(x[:3000])[0]) / 3000 - 3) < 1  # two on average, two at least
+
+
+@pytest.mark.parametrize("n", [50_000, 100_000_000])
+def test_cap_filters_meet_their_miss_rate(n):
+    size = math.isqrt(n * 2 // 256) + 1
+    turns = sphere.turns_for(64, size, 2, 0.9, 1e-5)
+    rng = np.random.default_rng(9)
+    x, e = sphere.unit(rng.standard_normal((300, 64))), rng.standard_normal((300, 64))
+    y = 0.9 * x + math.sqrt(0.19) * sphere.unit(e - (e * x).sum(1, keepdims=True) * x)
+    left = set(range(300))
+    for t in range(turns):
+        code = sphere.ProductCode(64, size, 2, seed=11 + t)
+        left -= {v for v, _ in set(zip(*(z.tolist() for z in code.decode(x)))) & set(zip(*(z.tolist() for z in code.decode(y))))}
+    assert not left
+
+
 # 5
 
 
