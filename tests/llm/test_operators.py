@@ -164,6 +164,57 @@ def test_pages_names_beside_and_in_an_article():
     assert pages.extract(page) == f"Head\n\n{BODY}"
 
 
+@pytest.mark.parametrize("page,want", [
+    (f"<nav><a href=/>Home</a></nav><article class='post social-policy'><h1>Head</h1><p>{BODY}</p></article>", f"Head\n\n{BODY}"),
+    (f"<article><h1>Head</h1><p>{BODY}</p><div class='search-history'><p>{BODY} More.</p></div><div class='share-buttons'>Share, like.</div></article>", f"Head\n\n{BODY}\n\n{BODY} More."),
+    (f"<article><h1>Head</h1>{f'<p>{BODY}</p>' * 10}</article><article><p>{BODY}</p></article>", "\n\n".join(["Head"] + [BODY] * 11)),
+    (f"<body><nav><p>A menu.</p><a href=/>Home</a></nav><h1>Head</h1><p>{BODY}</p><nav><a href=/>Home</a></nav><p>{BODY}</p></body>", f"Head\n\n{BODY}\n\n{BODY}"),
+    (f"<article><ul><li><a href=/>Part one</a></li></ul><p>{BODY}</p><ul><li><a href=/>One</a></li><li>Two</li></ul><p>{BODY}</p><ul><li><a href=/>See also</a></ul></article>", f"{BODY}\n\nOne\n\nTwo\n\n{BODY}"),
+    (f"<body><nav>{f'<p>{BODY}</p>' * 3}</nav><div><p>One.</p></div></body>", "\n\n".join([BODY] * 3)),
+    ("<nav><a href=/>Home</a></nav><footer>Foot, end.</footer>", ""),
+    (f"</p></div><p>{BODY}<table><td>A, b.<td><b>C</table></span><p", f"{BODY}\n\nA, b.\n\nC"),
+])
+def test_pages_by_ratios(page, want):
+    assert pages.extract(page) == want
+
+
+def test_pages_path_sums_against_brute_force():
+    import pyarrow.parquet as pq
+
+    html = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    kept, ones = [], []
+    for h in html:
+        blocks = pages.read_blocks(h)
+        sums, raw = pages.path_sums(blocks), []
+        for p in {b.path for b in blocks}:
+            own = [b for b in blocks if b.path == p]
+            want = [sum(len(b.text) for b in own), sum(c in ".,;:!?…、。，？！" for b in own for c in b.text), len(own), sum(min(b.link, len(b.text)) for b in own)]
+            assert sums[p] == want
+        for b in blocks:
+            l, q, n, a = sums[b.path]
+            raw.append(math.log(1 + l / n) * math.log(2 + q / n) * (1 - a / l))
+        got = pages.fused_ratios(blocks)
+        kernel = {d: math.exp(-d * d / 2) for d in range(-2, 3)}
+        for k in range(len(raw)):
+            near = [(w, raw[k + d]) for d, w in kernel.items() if 0 <= k + d < len(raw)]
+            want = 0.7 * raw[k] + 0.3 * sum(w * x for w, x in near) / sum(w for w, _ in near) if len(raw) >= 5 else raw[k]
+            assert abs(got[k] - want) < 1e-9
+        kept.append(pages.extract(h))
+    # without the ratios menus come through
+    fused = pages.fused_ratios
+    pages.fused_ratios = lambda blocks: np.ones(len(blocks))
+    try:
+        ones = [pages.extract(h) for h in html]
+    finally:
+        pages.fused_ratios = fused
+    assert all(kept) and sum(a != b for a, b in zip(kept, ones)) > len(html) / 2
+
+
+def test_pages_clashing_names(spark):
+    df = spark.createDataFrame([(1, "u", f"<p>{BODY}", 7, "x", 3)], "page_id long, url string, html string, n_chars int, text string, t int")
+    assert [tuple(r) for r in pages.extract_pages(df).collect()] == [(1, "u", BODY, len(BODY))]
+
+
 # 4
 
 
