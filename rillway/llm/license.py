@@ -6,16 +6,23 @@ stands where its words follow one another, whatever stands between them.
 
 Labels: the three base phrases give mit, apache-2 and cc-by-nc; other notices give the labels
 in NOTICES; a tag (SPDX-License-Identifier) gives the lower-cased identifiers of its expression, `a with b` as
-"a-with-b". Prose behind an expression in its line ends it; a tag behind which none parses gives the label "unknown". score is 0 without
-evidence, otherwise 1 minus the product of what each label leaves open (base phrase and tag 0.1, notice 0.4).
+"a-with-b". Prose behind an expression in its line ends it; a tag behind which none parses gives the label "unknown".
 
-Defined results: null text is empty: no words, no places, empty labels, score 0; repeated rows
+An expression is evaluated on its postfix form, without expanding the choices: `or` offers either side, `and` asks for both. Labels that hold
+whatever is chosen are required (of `or` what both sides require, of `and` what either does); the others are optional. It is permissive
+if a choice holds permissive licences alone (`or`: either side, `and`: both, `with`: its licence).
+
+score is 0 without evidence, otherwise 1 minus the product of what each label leaves open (base phrase and required label of a tag 0.1,
+optional one 0.3, notice 0.4; the least of them where a label has several). permissive is null without a tag whose expression parses, else whether all such expressions are permissive.
+
+Defined results: null text is empty: no words, no places, empty labels, score 0; very long texts are scanned whole; repeated rows
 each get a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -48,7 +55,9 @@ NOTICES = {
     "all rights reserved": "proprietary",
 }
 TAG = "spdx license identifier"
-OPEN = {"base": 0.1, "tag": 0.1, "notice": 0.4}
+OPEN = {"base": 0.1, "tag": 0.1, "optional": 0.3, "notice": 0.4}
+#: Starts of identifiers of licences that ask for no more than a notice.
+PERMISSIVE = ("0bsd", "afl", "apache", "artistic", "beerware", "blueoak", "boost", "bsd", "bsl", "cc-by-4", "cc0", "curl", "isc", "mit", "ncsa", "openssl", "pddl", "postgresql", "psf", "python", "unlicense", "upl", "wtfpl", "x11", "zlib")
 _TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*((?:(?!spdx-license-identifier:)[^\r\n])*)", re.I)
 _TOKEN = re.compile(r"\s*(?:([()])|([A-Za-z0-9.+:-]+))")
 _NAMED = re.compile(r"(?=.*[a-z]).*[0-9-]|(?:mit|apache|bsd|isc|zlib|[al]?gpl|gfdl|mpl|epl|eupl|cddl|bsl|wtfpl|unlicense|proprietary|artistic|ncsa|postgresql|openssl|vim|ruby|python|x11|curl|beerware)$", re.I)
@@ -119,27 +128,41 @@ def evaluate(postfix: list) -> list[frozenset[str]] | None:
     return stack[0]
 
 
-def labels_of(postfix: list) -> set[str] | None:
-    """The licences of all choices, which are not expanded; None where `with` does not join two licences."""
-    stack: list[set[str]] = []
+class Terms(NamedTuple):
+    """What an expression comes to; the sets are not changed once made."""
+
+    required: set[str]
+    labels: set[str]
+    permissive: bool
+
+
+def evaluate_terms(postfix: list) -> Terms | None:
+    """The expression evaluated from left to right, its choices not expanded; None where `with` does not join two licences."""
+    stack: list[Terms] = []
     for x in postfix:
         if isinstance(x, str):
-            stack.append({x})
+            stack.append(Terms({x}, {x}, x.startswith(PERMISSIVE)))
             continue
         b, a = stack.pop(), stack.pop()
         if x[0] == "with":
-            if len(a) != 1 or len(b) != 1:
+            if len(a.labels) != 1 or len(b.labels) != 1:
                 return None
-            stack.append({f"{next(iter(a))}-with-{next(iter(b))}"})
-        elif len(a) < len(b):
-            b |= a
-            stack.append(b)
+            both = {f"{next(iter(a.labels))}-with-{next(iter(b.labels))}"}
+            stack.append(Terms(both, both, a.permissive))
+        elif x[0] == "or":
+            stack.append(Terms(a.required & b.required, _united(a.labels, b.labels), a.permissive or b.permissive))
         else:
-            a |= b
-            stack.append(a)
+            stack.append(Terms(_united(a.required, b.required), _united(a.labels, b.labels), a.permissive and b.permissive))
     return stack[0]
 
 
+def _united(a: set[str], b: set[str]) -> set[str]:
+    """a and b in the larger of them, so that a chain of operators costs no more than its length."""
+    if len(a) < len(b):
+        a, b = b, a
+    return a | b if len(a) < 64 else (a.update(b) or a)
+
+
 def expression_prefix(text: str) -> str:
     """The longest start of text that is an expression, or ""; text after it is prose.
 
@@ -181,9 +204,15 @@ def expression_prefix(text: str) -> str:
     return text[:end] if prose or text[at:].strip() else ""
 
 
-def expression_labels(text: str) -> set[str]:
+def expression_terms(text: str) -> Terms | None:
+    """What the expression that text starts with comes to; None if there is none."""
     postfix = parse_expression(text.strip().rstrip(".")) or parse_expression(expression_prefix(text))
-    return postfix and labels_of(postfix) or {"unknown"}
+    return evaluate_terms(postfix) if postfix else None
+
+
+def expression_labels(text: str) -> set[str]:
+    found = expression_terms(text)
+    return found.labels if found else {"unknown"}
 
 
 def automaton():
@@ -196,7 +225,7 @@ def automaton():
 
 
 def scan(text: bytes, auto) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score of a UTF-8 text."""
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, required, permissive of a UTF-8 text."""
     words = text.translate(PLAIN).split()
     plain = b" " + b" ".join(words) + b" "
     at, seen = 0, 0
@@ -204,6 +233,8 @@ def scan(text: bytes, auto) -> tuple:
     base: set[str] = set()
     left: dict[str, float] = {}
     tags = False
+    required: set[str] = set()
+    permissive: bool | None = None
     for end, (phrase, size) in auto.iter(plain.decode("latin-1")):
         if phrase == TAG:
             tags = True
@@ -224,10 +255,16 @@ def scan(text: bytes, auto) -> tuple:
         del left["gpl"]
     if tags:
         for m in _TAG_LINE.finditer(text.decode("utf-8", "replace")):
-            for k in expression_labels(m[1]):
-                left[k] = OPEN["tag"]
+            found = expression_terms(m[1])
+            if found is None:
+                left["unknown"] = OPEN["tag"]
+                continue
+            required |= found.required
+            permissive = found.permissive and permissive is not False
+            for k in found.labels:
+                left[k] = min(left.get(k, 1.0), OPEN["tag" if k in found.required else "optional"])
     score = 1.0 - float(np.prod(list(left.values()))) if left else 0.0
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(left)), score
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(left)), score, ",".join(sorted(required)), permissive
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,12 +274,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         auto = automaton()
         for b in batches:
             rows = [scan(t, auto) for t in b.column(1).to_pylist()]
-            cols = list(zip(*rows)) if rows else [()] * 7
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+            cols = list(zip(*rows)) if rows else [()] * 9
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "required", "permissive"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, required string, permissive boolean")
 
 
 def op2_license_scans(spark, sf_dir):

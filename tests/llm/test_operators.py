@@ -107,6 +107,33 @@ def test_license_precedence():
     assert license.evaluate(license.parse_expression("(a or b) and c")) == [frozenset("ac"), frozenset("bc")]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_license_terms_against_all_choices(seed):
+    rng = random.Random(seed)
+    names = ["mit", "isc", "gpl-3", "zlib", "agpl-3"]
+
+    def make(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return rng.choice(names)
+        return f"({make(depth - 1)} {rng.choice(['and', 'or'])} {make(depth - 1)})"
+
+    postfix = license.parse_expression(make(4))
+    choices, terms = license.evaluate(postfix), license.evaluate_terms(postfix)
+    assert terms.labels == set().union(*choices)
+    assert terms.permissive == any(all(k.startswith(license.PERMISSIVE) for k in c) for c in choices)
+    # required licences stand in every choice; choices that absorb one another may make more of them stand there
+    assert all(terms.required <= c for c in choices)
+
+
+def test_license_operators_differ():
+    auto = license.automaton()
+    both, either = (license.scan(f"// SPDX-License-Identifier: GPL-3 {k} MIT".encode(), auto) for k in ("and", "or"))
+    assert both[5] == either[5] == "gpl-3,mit" and both[6] > either[6]
+    assert both[7:] == ("gpl-3,mit", False) and either[7:] == ("", True)
+    assert license.scan(b"SPDX-License-Identifier: GPL-2.0 with Classpath-exception-2.0\nSPDX-License-Identifier: MIT", auto)[7:] == ("gpl-2.0-with-classpath-exception-2.0,mit", False)
+    assert license.scan(b"under the MIT license", auto)[7:] == ("", None)
+
+
 def test_license_labels_of_many_choices():
     text = " and ".join(f"(a{k} or b{k})" for k in range(30))
     assert license.expression_labels(text) == {f"{x}{k}" for x in "ab" for k in range(30)}
