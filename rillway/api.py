@@ -51,6 +51,23 @@ class Result:
         files.write(self.ordered, enc.op.split(".")[1], path, **enc.args)
 
 
+#: Operators that change columns where they stand.
+IN_PLACE = frozenset("cast trim fill-null fill_null clip replace date-trunc date_trunc normalize interpolate".split())
+
+
+def keep_order(ctx: Context, df: DataFrame, step: Step) -> DataFrame:
+    """df, with a hidden copy of each order column that the step changes: rows keep the order that they came in."""
+    if step.op not in IN_PLACE:
+        return df
+    a = step.args
+    named = {a.get("column"), *(a.get("mapping") or ()), *(a.get("columns") or df.columns if "column" not in a and "mapping" not in a else ())}
+    moved = {c: f"__o_{c}" for c, _ in ctx.order if c in named and c in df.columns and not c.startswith("__")}
+    if moved:
+        df = df.withColumns({n: F.col(f"`{c}`") for c, n in moved.items()})
+        ctx.order = [(moved.get(c, c), d) for c, d in ctx.order]
+    return df
+
+
 class Pipeline:
     def __init__(self, plan: Plan) -> None:
         self.plan = plan.validate()
@@ -69,7 +86,7 @@ class Pipeline:
             if step.op.startswith("codec."):
                 encoder = step if step.op.endswith(".encode") else encoder
                 continue
-            df = OPS[step.op].apply(ctx, df, step.args)
+            df = OPS[step.op].apply(ctx, keep_order(ctx, df, step), step.args)
         return Result(df, ctx.order, encoder, ctx.errors)
 
     def run(self, spark: SparkSession | None = None, input: str | bytes | None = None, input_file: str | None = None, df: DataFrame | None = None, count: bool = False, **options) -> Result:

@@ -20,16 +20,25 @@ class Op:
     name: str
     apply: Callable[[Context, DataFrame, dict], DataFrame]
     required: tuple[str, ...] = ()
+    #: Works row by row.
     stateless: bool = False
+    #: Works along the order with a state of bounded size, so that a stream can hand it on.
+    stateful: bool = False
+    #: What a task holds does not grow with the input.
+    bounded: bool = True
+    #: Gives the same result each time.
+    deterministic: bool = True
+    #: Reads a second input.
+    files: bool = False
 
 
 OPS: dict[str, Op] = {}
 
 
-def op(*names: str, required: tuple[str, ...] = (), stateless: bool = False):
+def op(*names: str, required: tuple[str, ...] = (), **flags: bool):
     def add(f):
         for n in names:
-            OPS[n] = Op(n, f, required, stateless)
+            OPS[n] = Op(n, f, required, **flags)
         return f
 
     return add
@@ -51,11 +60,24 @@ class Context:
     errors: list[dict] = field(default_factory=list)
     counts: list[tuple[str, object]] = field(default_factory=list)
     stack: list[str] = field(default_factory=list)
-    #: Rows of one block of the sequence operators.
+    #: Rows, and bytes as the optimizer estimates them, of one range of the sequence operators.
     block: int = 1_000_000
+    block_bytes: int = 256 << 20
     max_categories: int = 1000
-    #: Approximate quantiles of order columns; they only balance the work, so they stay good for any later rows.
-    cuts: dict[str, list[float]] = field(default_factory=dict)
+    #: Where the ranges of an order begin; they only balance the work, so they stay good for any later rows.
+    cuts: dict[tuple, list] = field(default_factory=dict)
+    #: The order that the ranges in the DataFrame at hand follow.
+    ranged: tuple | None = None
+    #: In a stream: what the operators have seen in the batches before, by place in the plan and name; None in a batch.
+    memory: dict | None = None
+    place: int = 0
+
+    def seen(self) -> dict:
+        return (self.memory or {}).get(self.place, {})
+
+    def remember(self, name: str, value) -> None:
+        if self.memory is not None:
+            self.memory.setdefault(self.place, {})[name] = value
 
     def sorting(self, what: str, back: bool = False) -> list[Column]:
         if not self.order:
@@ -94,3 +116,8 @@ def number(df: DataFrame, column: str, what: str) -> Column:
     if kind == "null":
         return F.lit(None).cast("double")
     raise OpError(f"{what}: column {column!r} holds no numbers")
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of df as the optimizer estimates them, from the sizes of the files below."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import quoted
-from .base import Context, kinds, need, number, op
+from .base import Context, OpError, kinds, need, number, op
 from .reshape import categories
-from .sequence import dense_index, framed
+from .sequence import _lagged, _valid, dense_index, sort_key
 
 
 @op("normalize", required=("columns",))
@@ -33,15 +34,16 @@ def acf(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     lags = int(args.get("lags", 20))
     x = number(df, args["column"], "acf")
     mean = df.agg(F.avg(x)).first()[0]
-    d = dense_index(ctx, df.where(quoted(args["column"]).isNotNull()).withColumn("__e", x - F.lit(mean)), "__i")
-    d = framed(ctx, d.select("__i", "__e"), "__i", lags, 0, {f"__l{k}": (lambda k: lambda w: F.col("__e") * F.lag("__e", k).over(w))(k) for k in range(lags + 1)})
-    row = d.agg(F.count("__e").alias("n"), F.sum(F.col("__e") * F.col("__e")).alias("var"), *[F.sum(f"__l{k}").alias(f"s{k}") for k in range(lags + 1)])
+    rest = df.where(x.isNotNull()).withColumn("__e", x - F.lit(mean)).select("__e", *[quoted(c) for c, _ in ctx.order if c != "__e"])
+    d, r, w = _valid(ctx, rest, "__e", "acf", lags)
+    d = d.withColumns({f"__l{k}": F.col("__x") * (_lagged(w, r, k) if k else F.col("__x")) for k in range(lags + 1)})
+    row = d.agg(F.count("__x").alias("n"), F.sum("__l0").alias("var"), *[F.sum(f"__l{k}").alias(f"s{k}") for k in range(lags + 1)])
     lines = F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), F.col(f"s{k}").alias("s")) for k in range(lags + 1)])
     ctx.order = [("lag", False)]
     return row.where("n >= 2 and var > 0").select("n", "var", F.explode(lines).alias("l")).where("l.lag < n").select("l.lag", (F.col("l.s") / F.col("var")).alias("acf"))
 
 
-@op("label-encode", "label_encode", required=("column",))
+@op("label-encode", "label_encode", required=("column",), stateful=True)
 def label_encode(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     """Numbers from 0 on by first appearance; null stays null."""
     kind = need(df, args["column"], "label-encode")
@@ -49,13 +51,31 @@ def label_encode(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     if kind in ("date", "timestamp"):
         return df.withColumn(name, F.lit(None).cast("bigint"))
     ctx.sorting("label-encode")
-    if any(d for _, d in ctx.order):
-        d = dense_index(ctx, df, "__i")
-        first = d.groupBy(quoted(args["column"]).alias("__v")).agg(F.min("__i").alias("__f"))
-    else:
-        first = df.groupBy(quoted(args["column"]).alias("__v")).agg(F.min(ctx.key()).alias("__f"))
-    ids = first.where("__v is not null").select("__v", (F.row_number().over(Window.orderBy("__f", "__v")) - 1).cast("bigint").alias(name))
-    return df.join(ids, quoted(args["column"]) == F.col("__v"), "left").drop("__v")
+    key = sort_key(ctx, df)
+    if key is None:
+        df = dense_index(ctx, df, "__i")
+        key = (F.max_by, F.min_by, F.col("__i"))
+    # the values, each with its first key: numbered by ranges of these
+    last = F.max if key[0] is F.min_by else F.min
+    first = df.where(quoted(args["column"]).isNotNull()).groupBy(quoted(args["column"]).alias("__v")).agg(last(key[2]).alias("__f"))
+    flat = ["__f"]
+    if isinstance(first.schema["__f"].dataType, T.StructType):
+        names = first.schema["__f"].dataType.names
+        flat = [f"__f{k}" for k in range(len(names))]
+        first = first.select("__v", *[F.col("__f")[n].alias(f) for n, f in zip(names, flat)])
+    known = ctx.seen().get("labels", {})
+    if ctx.memory is not None:
+        first = first.where(~F.col("__v").isin(list(known))) if known else first
+    inside = Context(ctx.spark, [(f, key[0] is F.min_by) for f in flat], block=ctx.block)
+    ids = dense_index(inside, first, name).select("__v", name)
+    if ctx.memory is not None:
+        new = ids.limit(ctx.max_categories + 1).collect()
+        if len(known) + len(new) > ctx.max_categories:
+            raise OpError(f"label-encode in a stream: more than {ctx.max_categories} values; raise max_categories")
+        known = known | {r["__v"]: r[name] + len(known) for r in new}
+        ctx.remember("labels", known)
+        ids = df.sparkSession.createDataFrame(list(known.items()), f"__v {df.schema[args['column']].dataType.simpleString()}, {name} long")
+    return df.join(ids, quoted(args["column"]) == F.col("__v"), "left").drop("__v", "__i")
 
 
 @op("onehot", required=("column",))

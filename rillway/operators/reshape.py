@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import quoted
 from ..functions.text import as_text
 from ..sources.files import read_csv, read_parquet
-from .base import Context, OpError, kinds, need, number, op, visible
+from .base import Context, OpError, kinds, need, number, op, size_of, visible
 
 
 def categories(ctx: Context, df: DataFrame, column: str, what: str) -> list[str]:
@@ -56,7 +56,7 @@ def other(ctx: Context, source, what: str) -> DataFrame:
     return read_parquet(ctx.spark, source) if str(source).rstrip("/").endswith(".parquet") else read_csv(ctx.spark, source).drop("__row")
 
 
-@op("stack", required=("file",))
+@op("stack", required=("file",), files=True)
 def stack(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     """The rows of a second input below, by position, as the types of the first; tag: a first column that says where a row is from."""
     cols = visible(df)
@@ -75,7 +75,7 @@ def stack(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
 BROADCAST_BYTES = 64 << 20
 
 
-@op("join", required=("file", "on"))
+@op("join", required=("file", "on"), files=True)
 def join(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     """Lookup by equal keys, `on` as "left[=right][,...]"; keys compare as texts, null matches null. how: inner, left, right, full, semi, anti."""
     look = other(ctx, args["file"], "join")
@@ -107,8 +107,3 @@ def join(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     if how in ("right", "full"):
         out = out.withColumns({a: F.coalesce(quoted(a), quoted(keys[b])) for a, b in pairs if kl[a] == kr[b]})
     return out.drop(*keys.values())
-
-
-def size_of(df: DataFrame) -> int:
-    """Bytes of df as the optimizer estimates them, from the sizes of the files below."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

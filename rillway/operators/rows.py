@@ -43,14 +43,18 @@ def grep(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     return df.filter(~hit if args.get("invert") else hit)
 
 
-@op("head")
+@op("head", stateful=True)
 def head(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
-    return df.orderBy(*ctx.sorting("head")).limit(int(args["n"]))
+    n = max(0, int(args["n"]) - ctx.seen().get("rows", 0))
+    out = df.orderBy(*ctx.sorting("head")).limit(n)
+    if ctx.memory is not None:
+        ctx.remember("rows", ctx.seen().get("rows", 0) + df.limit(n).count())
+    return out
 
 
-@op("skip")
+@op("skip", stateful=True)
 def skip(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
-    return df.orderBy(*ctx.sorting("skip")).offset(int(args["n"]))
+    return dense_index(ctx, df, "__i").where(F.col("__i") >= int(args["n"])).drop("__i")
 
 
 @op("tail", required=("n",))
@@ -79,9 +83,13 @@ def top(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     return out.drop("__rank")
 
 
-@op("sample", required=("n",))
+@op("sample", required=("n",), deterministic=False)
 def sample(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
-    """n rows at random, without replacement: the smallest of seeded random numbers."""
+    """n rows at random, without replacement: the smallest of random numbers. With a seed and an order these are the numbers of split-data, so the
+    sample is the same however the rows are dealt."""
+    if args.get("seed") is not None and ctx.order:
+        df = dense_index(ctx, df, "__i")
+        return df.withColumn("__r", uniform(F.col("__i"), int(args["seed"]))).orderBy("__r", "__i").limit(int(args["n"])).drop("__r", "__i")
     return df.withColumn("__r", F.rand(args.get("seed"))).orderBy("__r").limit(int(args["n"])).drop("__r")
 
 
@@ -100,7 +108,7 @@ def unique(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     return df.groupBy(*[quoted(c).alias(f"__k{i}") for i, c in enumerate(cols)]).agg(F.min_by(row, ctx.key()).alias("__row_")).select("__row_.*")
 
 
-@op("split-data", "split_data")
+@op("split-data", "split_data", stateful=True)
 def split_data(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     """`train` or `test` by a linear congruential number of the seed and the place of the row."""
     ratio, seed = float(args.get("ratio", 0.8)), int(args.get("seed", 42))
