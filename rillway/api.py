@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import OPS, ROW, Context
+from .operators.sequence import RANGE
 from .plans import Plan, Step, find_recipe, parse_dsl
 from .sources import files
 
@@ -87,7 +88,7 @@ class Pipeline:
                 encoder = step if step.op.endswith(".encode") else encoder
                 continue
             df = OPS[step.op].apply(ctx, keep_order(ctx, df, step), step.args)
-        return Result(df, ctx.order, encoder, ctx.errors)
+        return Result(df.drop(RANGE), ctx.order, encoder, ctx.errors)
 
     def run(self, spark: SparkSession | None = None, input: str | bytes | None = None, input_file: str | None = None, df: DataFrame | None = None, count: bool = False, **options) -> Result:
         """From a text, a path or a DataFrame. count: also the numbers of rows in and out of the transforms, by an action of their own."""

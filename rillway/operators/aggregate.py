@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import quoted
 from ..functions.text import as_text, general
-from .base import Context, OpError, kinds, number, op, visible
+from .base import Context, OpError, kinds, number, op, size_of, visible
+from .sequence import searched
 
 
 @op("group-agg", "group_agg", required=("aggs",))
@@ -43,43 +44,125 @@ DEFAULT = ("count", "sum", "avg", "min", "max", "var", "stddev", "median")
 BINS = 32
 
 
+def _text(df: DataFrame, c: str) -> Column:
+    return as_text(quoted(c), kinds(df)[c]).cast("string")
+
+
+def samples(df: DataFrame, cols: list[str], n: int = 10) -> DataFrame:
+    """One row with, for each column, the n distinct texts of smallest MD5, joined by commas: the same however the rows are dealt.
+
+    Values are made distinct before they meet, and a task passes on n of a column at most.
+    """
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), _text(df, c).alias("t")) for i, c in enumerate(cols)])
+    each = df.select(F.explode(pairs).alias("p")).select("p.i", "p.t").where("t is not null").groupBy("i", "t").agg(F.md5(F.col("t").cast("binary")).alias("h"))
+    few = each.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("h", "t"))).where(F.col("r") <= n)
+    lists = few.groupBy("i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "t"))), lambda s: s["t"]), ",").alias("s"))
+    return lists.agg(*[F.max(F.when(F.col("i") == i, F.col("s"))).alias(f"m{i}_sample") for i in range(len(cols))])
+
+
+#: Below this estimated size of the input, quantiles are taken from one buffer of all distinct values of a column.
+QUANTILE_BYTES = 64 << 20
+
+
+def quantiles(df: DataFrame, values: dict[str, Column], shares: list[float], block: int = 1_000_000) -> dict[str, dict[float, float | None]]:
+    """Exact quantiles (linear between neighbours) of each value, with no task that holds a whole column.
+
+    Values are counted in ranges of about `block` (4,096 at most) cut at a sample; a range that holds a quantile is then counted value by value and sorted up to the rank.
+    """
+    xs = list(values)
+    d = df.select(*[v.alias(x) for x, v in values.items()])
+    n = d.count()
+    ranges = min(4096, n // block + 2)
+    rows = d.sample(min(1.0, 32 * ranges / max(1, n)), seed=17).collect()  # about 32 rows a range
+    cuts = {}
+    for x in xs:
+        got = sorted(r[x] for r in rows if r[x] is not None and r[x] == r[x])
+        cuts[x] = sorted({got[k * len(got) // ranges] for k in range(1, ranges)}) if got else [0.0]
+    place = {x: F.when(F.col(x).isNotNull(), searched(lambda c, x=x: c <= F.col(x), F.array(*[F.lit(float(c)) for c in cuts[x]]), len(cuts[x]))) for x in xs}
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), place[x].alias("p")) for i, x in enumerate(xs)])
+    held: dict[int, list] = {}
+    for r in d.select(F.explode(pairs).alias("s")).select("s.i", "s.p").where("p is not null").groupBy("i", "p").count().orderBy("i", "p").collect():
+        held.setdefault(r.i, []).append((r.p, r["count"]))
+    want: dict[tuple[int, int], list[int]] = {}
+    at: dict[tuple[int, float], tuple[int, float]] = {}
+    for i in range(len(xs)):
+        total = sum(c for _, c in held.get(i, []))
+        for q in shares:
+            if total:
+                pos = q * (total - 1)
+                at[i, q] = int(pos), pos - int(pos)
+                for rank in {int(pos), min(int(pos) + 1, total - 1)}:
+                    before = 0
+                    for p, c in held[i]:
+                        if rank < before + c:
+                            want.setdefault((i, p), []).append((rank, rank - before))
+                            break
+                        before += c
+    found: dict[tuple[int, int], float] = {}
+    if want:
+        keys = [F.when(F.array_contains(F.array(*[F.lit(p) for j, p in want if j == i]), place[x]), F.struct(F.lit(i).alias("i"), place[x].alias("p"), F.col(x).alias("x"))) for i, x in enumerate(xs) if any(j == i for j, _ in want)]
+        each = d.select(F.explode(F.array(*keys)).alias("s")).where("s is not null").select("s.*").groupBy("i", "p", "x").count()
+        upto = F.sum("count").over(Window.partitionBy("i", "p").orderBy("x"))
+        each = each.withColumn("to", upto)
+        hit = F.lit(False)
+        for (i, p), ranks in want.items():
+            for _, k in ranks:
+                hit = hit | ((F.col("i") == i) & (F.col("p") == p) & (F.col("to") > k) & (F.col("to") - F.col("count") <= k))
+        for r in each.where(hit).collect():
+            for rank, k in want[r.i, r.p]:
+                if r.to - r["count"] <= k < r.to:
+                    found[r.i, rank] = r.x
+    out: dict[str, dict[float, float | None]] = {}
+    for i, x in enumerate(xs):
+        out[x] = {}
+        for q in shares:
+            low, part = at.get((i, q), (None, 0.0))
+            if low is None:
+                out[x][q] = None
+            else:
+                a = found[i, low]
+                out[x][q] = a if not part else a + part * (found[i, low + 1] - a)
+    return out
+
+
 @op("stats")
 def stats(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     """One row per column with the chosen measures in a fixed order; texts have count, distinct and sample only.
 
     Quantiles are exact, or approximate with approx=true; distinct is approximate unless exact=true. All columns are
-    measured in one aggregate; hist needs the bounds first and takes a second one.
+    measured in one aggregate. Beside it, hist needs the bounds first, quantiles of inputs above QUANTILE_BYTES take two passes over the columns, and sample one: its
+    texts are the ten of smallest MD5.
     """
     want = [m for m in MEASURES if m in (args.get("stats") or args.get("columns") or DEFAULT)] or list(DEFAULT)
     cols, kind = visible(df), kinds(df)
     if not cols:
         raise OpError("stats: no columns")
-    quantile = (lambda c, q: F.percentile_approx(c, q, 10000).cast("double")) if args.get("approx") else (lambda c, q: F.percentile(c, q))
-    numeric = {c for c in cols if kind[c] in ("int", "float", "date", "timestamp")}
+    numeric = [c for c in cols if kind[c] in ("int", "float", "date", "timestamp")]
+    shares = {m: q for m, q in (("median", 0.5), ("p25", 0.25), ("p75", 0.75)) if m in want}
+    exact: dict[str, dict] | None = None
+    if shares and numeric and not args.get("approx") and size_of(df.select(*[quoted(c) for c in numeric])) > args.get("quantile_bytes", QUANTILE_BYTES):
+        exact = quantiles(df, {c: number(df, c, "stats") for c in numeric}, list(shares.values()))
     bounds = {}
     if "hist" in want and numeric:
-        row = df.agg(*[F.struct(F.min(number(df, c, "stats")).alias("lo"), F.max(number(df, c, "stats")).alias("hi")).alias(f"c{i}") for i, c in enumerate(cols) if c in numeric]).first()
-        bounds = dict(zip([c for c in cols if c in numeric], row))
-    few = args.get("seed", 0)
+        row = df.agg(*[F.struct(F.min(number(df, c, "stats")).alias("lo"), F.max(number(df, c, "stats")).alias("hi")).alias(f"c{i}") for i, c in enumerate(numeric)]).first()
+        bounds = dict(zip(numeric, row))
 
     def measure(c: str, m: str) -> Column:
         if m == "count":
             return F.count(quoted(c))
         if m == "distinct":
             return F.count_distinct(quoted(c)) if args.get("exact") else F.approx_count_distinct(quoted(c), 0.0325)
-        if m == "sample":
-            # the ten smallest hashes of the values: the same whatever the partitions
-            text = as_text(quoted(c), kind[c]).cast("string")
-            return F.array_join(F.transform(F.slice(F.array_sort(F.collect_set(F.when(text.isNotNull(), F.struct(F.xxhash64(text, F.lit(few)).alias("h"), text.alias("t"))))), 1, 10), lambda s: s["t"]), ",")
         if c not in numeric:
-            return F.lit(None).cast("string" if m == "hist" else "double")
+            return F.max(F.lit(None).cast("string" if m == "hist" else "double"))
         x = number(df, c, "stats")
-        if m in ("median", "p25", "p75"):
-            return quantile(x, {"median": 0.5, "p25": 0.25, "p75": 0.75}[m])
+        if m in shares:
+            if exact is not None:
+                return F.max(F.lit(exact[c][shares[m]]).cast("double"))
+            return F.percentile_approx(x, shares[m], 10000).cast("double") if args.get("approx") else F.percentile(x, shares[m])
         if m == "hist":
             lo, hi = bounds[c]
             if lo is None or lo == hi:
-                return F.lit(None).cast("string")
+                return F.max(F.lit(None).cast("string"))
             at = F.least(F.floor((x - lo) / ((hi - lo) / BINS)), F.lit(BINS - 1))
             counts = [F.count_if(at == k).cast("string") for k in range(BINS)]
             return F.concat(general(F.lit(float(lo))), F.lit(":"), general(F.lit(float(hi))), F.lit(":"), F.concat_ws(",", *counts))
@@ -89,7 +172,9 @@ def stats(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
             return F.when(F.count(x) >= 4, F.when(F.var_samp(x) <= 1e-15, 0.0).otherwise(F.kurtosis(x)))
         return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "var": F.var_samp, "stddev": F.stddev_samp}[m](x)
 
-    row = df.agg(*[measure(c, m).alias(f"m{i}_{m}") for i, c in enumerate(cols) for m in want])
+    row = df.agg(F.count(F.lit(1)).alias("__n"), *[measure(c, m).alias(f"m{i}_{m}") for i, c in enumerate(cols) for m in want if m != "sample"])
+    if "sample" in want:
+        row = row.crossJoin(F.broadcast(samples(df, cols)))  # one row each
     lines = F.array(*[F.struct(F.lit(i).alias("__i"), F.lit(c).alias("column"), *[F.col(f"m{i}_{m}").alias(m) for m in want]) for i, c in enumerate(cols)])
     ctx.order = [("__i", False)]
     return row.select(F.explode(lines).alias("l")).select("l.column", *[f"l.{m}" for m in want], "l.__i")

@@ -23,29 +23,24 @@ from ..functions.expr import SPARK, quoted
 from .base import Context, OpError, kinds, need, number, op, size_of, visible
 
 RANGE = "__rng"
-MAX_RANGES = 1 << 14
+MAX_RANGES = 1 << 13
 #: Sampled keys for each range.
 SAMPLE = 32
 #: Values that all ranges together may hand on as the rows before each of them.
 MAX_TAILS = 1_000_000
 
 
-def _behind(keys: list[tuple[Column, bool, object]]) -> Column:
-    """Whether a row's key is a cut or comes after it, column by column; nulls come last."""
-    c, desc, v = keys[0]
-    rest = _behind(keys[1:]) if len(keys) > 1 else F.lit(True)
-    if v is None:
-        return c.isNull() & rest
-    later = c.isNull() | (c < F.lit(v) if desc else c > F.lit(v))
-    return F.coalesce(later, F.lit(False)) | (c.eqNullSafe(F.lit(v)) & rest)
+def searched(reached: Callable[[Column], Column], cuts: Column, n: int) -> Column:
+    """How many of n sorted cuts, an array of literals, are reached by a row: by halving."""
 
+    def step(acc, _):
+        mid = F.shiftright(acc["low"] + acc["high"], 1)
+        more = acc["low"] < acc["high"]
+        hit = more & reached(F.get(cuts, mid))
+        return F.struct(F.when(hit, mid + 1).otherwise(acc["low"]).alias("low"), F.when(more & ~hit, mid).otherwise(acc["high"]).alias("high"))
 
-def _place(cuts: list[Column], low: int, high: int) -> Column:
-    """The number of cuts at or before a row, by halving."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(cuts[mid], _place(cuts, mid + 1, high)).otherwise(_place(cuts, low, mid))
+    rounds = F.sequence(F.lit(1), F.lit(max(1, n.bit_length())))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.lit(n).alias("high")), step, lambda acc: acc["low"])
 
 
 def ranged(ctx: Context, df: DataFrame) -> DataFrame:
@@ -55,46 +50,31 @@ def ranged(ctx: Context, df: DataFrame) -> DataFrame:
     if RANGE in df.columns and ctx.ranged == order:
         return df
     df = df.drop(RANGE)
+    k, (last, _, key) = next((k, found) for k in range(len(order), 0, -1) if (found := sort_key(ctx, df, k)))
     if order not in ctx.cuts:
-        ctx.cuts[order] = _cuts(ctx, df)
-    cuts = [_behind([(quoted(c), d, v) for (c, d), v in zip(order, cut)]) for cut in ctx.cuts[order]]
+        ctx.cuts[order] = _cuts(ctx, df, key, last is F.min_by)
+    cuts = ctx.cuts[order]
     ctx.ranged = order
-    return df.withColumn(RANGE, _place(cuts, 0, len(cuts)))
+    if not cuts:
+        return df.withColumn(RANGE, F.lit(0))
+    kinds_ = [f.dataType for f in df.select(key.alias("k")).schema["k"].dataType.fields]
+    fixed = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(cut, kinds_))]) for cut in cuts])
+    return df.withColumn(RANGE, searched((lambda c: c >= key) if last is F.min_by else (lambda c: c <= key), fixed, len(cuts)))
 
 
-def _cuts(ctx: Context, df: DataFrame) -> list[tuple]:
-    keys = df.select(*[quoted(c) for c, _ in ctx.order])
+def _cuts(ctx: Context, df: DataFrame, key: Column, down: bool) -> list[tuple]:
     n = df.count()
-    row = size_of(df) / max(1, n)
+    row = min(size_of(df) / max(1, n), 1 << 14)
     ranges = min(MAX_RANGES, n // max(1, min(ctx.block, int(ctx.block_bytes / max(row, 1)))) + 1)
     if ranges == 1:
         return []
     # bounded: a few keys for each range; they only balance the work, so any will do
-    rows = keys.sample(min(1.0, SAMPLE * ranges / n), seed=17).collect()
-
-    def sortable(r):
-        return [_Last(v, d) for v, (_, d) in zip(r, ctx.order)]
-
-    rows = sorted(map(tuple, rows), key=sortable)
+    rows = df.select(key.alias("k")).sample(min(1.0, SAMPLE * ranges / n), seed=17).collect()
+    rows = sorted((tuple(r.k) for r in rows if not any(v != v for v in r.k)), key=lambda t: [(v is not None, v) for v in t], reverse=down)
     picked = [rows[k * len(rows) // ranges] for k in range(1, ranges)] if rows else []
     return list(dict.fromkeys(picked))
 
 
-class _Last:
-    """A value that sorts up or down, with null (and then nan) last."""
-
-    def __init__(self, v, desc: bool) -> None:
-        self.v, self.desc = v, desc
-
-    def __eq__(self, other) -> bool:
-        return self.v == other.v
-
-    def __lt__(self, other) -> bool:
-        if self.v is None or other.v is None:
-            return self.v is not None
-        return other.v < self.v if self.desc else self.v < other.v
-
-
 def whole(ctx: Context) -> bool:
     """Whether one range is all there is."""
     return not ctx.cuts[tuple(ctx.order)] and ctx.memory is None
@@ -136,14 +116,15 @@ def dense_index(ctx: Context, df: DataFrame, name: str) -> DataFrame:
     return carried(df, rows, "__before long").withColumn(name, start + place + F.col("__before")).drop("__before")
 
 
-def sort_key(ctx: Context, df: DataFrame) -> tuple[Callable, Callable, Column] | None:
-    """(pick the last, pick the first, key) for aggregates along the order; None where texts run down beside other columns that run up."""
-    down = [d for _, d in ctx.order]
-    if all(down):
-        return F.min_by, F.max_by, F.struct(*[x for c, _ in ctx.order for x in (quoted(c).isNotNull(), quoted(c))])
+def sort_key(ctx: Context, df: DataFrame, columns: int | None = None) -> tuple[Callable, Callable, Column] | None:
+    """(pick the last, pick the first, key) for aggregates along the order, or its first columns; None where texts run down beside other columns that run up."""
+    order = ctx.order[:columns]
+    named = lambda xs: F.struct(*[x.alias(f"k{i}") for i, x in enumerate(xs)])
+    if all(d for _, d in order):
+        return F.min_by, F.max_by, named([x for c, _ in order for x in (quoted(c).isNotNull(), quoted(c))])
     parts = []
     kind = kinds(df)
-    for c, d in ctx.order:
+    for c, d in order:
         x = quoted(c)
         if d:
             if kind[c] == "string":
@@ -151,7 +132,7 @@ def sort_key(ctx: Context, df: DataFrame) -> tuple[Callable, Callable, Column] |
             x = F.unix_date(x) if kind[c] == "date" else F.unix_micros(x.cast("timestamp")) if kind[c] == "timestamp" else x.cast("double" if kind[c] == "float" else "int" if kind[c] == "bool" else "bigint")
             x = -x if kind[c] == "float" else F.bitwise_not(x)
         parts += [quoted(c).isNull(), x]
-    return F.max_by, F.min_by, F.struct(*parts)
+    return F.max_by, F.min_by, named(parts)
 
 
 def lasts(ctx: Context, df: DataFrame, values: dict[str, Column]) -> list[dict]:
@@ -460,3 +441,15 @@ def interpolate(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     c = quoted(args["column"])
     new = F.coalesce(c, F.when(fill >= 0, F.floor(fill)).otherwise(F.ceil(fill)).cast(SPARK["int"])) if kind == "int" else F.coalesce(c.cast("double"), fill)
     return d.withColumn(args["column"], new).select(*[quoted(c) for c in df.columns if c != RANGE], RANGE)
+
+
+def counted_groups(ctx: Context, df: DataFrame, count: str, keep: list[str]) -> DataFrame:
+    """Runs of rows joined along the order: a run starts where the counts before sum up to an even number. value: the texts of a run, joined by line feeds;
+    the order key and the columns in keep are those of its first row."""
+    d = step(ctx, df, {"column": count, "func": "running-sum", "result": "__s"})
+    d = d.withColumn("__new", F.when((F.col("__s") - F.col(count)) % 2 == 0, F.lit(1)))
+    d = step(ctx, d.withColumn("__one", F.coalesce("__new", F.lit(0))), {"column": "__one", "func": "running-sum", "result": "__g"})
+    row = ctx.order[0][0]
+    parts = F.array_sort(F.collect_list(F.struct(quoted(row).alias("r"), *[quoted(k) for k in keep], F.col("value").alias("v"))))
+    d = d.groupBy("__g").agg(parts.alias("p"))
+    return d.select(F.array_join(F.transform("p", lambda x: x["v"]), "\n").alias("value"), *[F.col("p")[0][k].alias(k) for k in keep], F.col("p")[0]["r"].alias(row))

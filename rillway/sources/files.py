@@ -5,8 +5,10 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
+import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,9 +22,42 @@ _INT = r"^[+-]?\d{1,19}$"
 _FLOAT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """With the place of each row in its file order, taken right above the scan."""
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+def scratch(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: that of spark.checkpoint.dir; where it is unset a temporary one, but only if all of Spark is one process here."""
+    own = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.rillway.folder", None)
+    if not own:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = f"file://{tempfile.mkdtemp(prefix='rillway-')}"
+        spark.conf.set("spark.rillway.folder", own)
+    return own
+
+
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(value, __first, ROW): all lines of text files, empty ones too, numbered by path, then place in the file; __first: whether it is a file's first line.
+
+    Files are read in splits. Within a split Spark's row numbers follow the file; so a number is made of the file's rank, the split and that.
+    """
+    df = spark.read.text(path)
+    plain = r"^(\w+):/+"  # the two sides write schemes with one slash or three
+    files = sorted({re.sub(plain, r"\1:/", f) for f in df.inputFiles()})
+    if len(files) >= 1 << 18:
+        raise ValueError("more than 262,143 files at once")
+    meta = F.col("_metadata")
+    id_ = F.monotonically_increasing_id()
+    df = df.select("value", F.regexp_replace(meta["file_path"], plain, "$1:/").alias("__path"), meta["file_block_start"].alias("__at"), id_.alias("__id"))
+    if len(files) > 1:
+        ranks = spark.createDataFrame([(f, k) for k, f in enumerate(files)], "__path string, __rank long")
+        df = df.join(F.broadcast(ranks), "__path")  # a row a file
+    else:
+        df = df.withColumn("__rank", F.lit(0).cast("bigint"))
+    place = F.shiftleft("__rank", 45).bitwiseOR(F.shiftleft(F.shiftright("__at", 20), 27)).bitwiseOR(F.col("__id").bitwiseAND(F.lit((1 << 27) - 1)))
+    return df.select("value", (F.col("__at") == 0).alias("__start"), "__rank", place.alias(ROW))
+
+
+def _firsts(lines: DataFrame, keep: Column) -> list[int]:
+    """ROW of the first line of each file that `keep` holds for."""
+    return [r.r for r in lines.where(F.col("__start") & keep).groupBy("__rank").agg(F.min(ROW).alias("r")).orderBy("__rank").collect()]
 
 
 def typed(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -53,13 +88,33 @@ def typed(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], delimiter: str = ",", header: bool = True, infer: bool = True, **_) -> DataFrame:
-    """Quoted fields may hold line feeds; short rows are filled with nulls, long ones cut."""
-    reader = spark.read.option("header", header).option("sep", delimiter).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("nullValue", "").option("emptyValue", "").option("mode", "PERMISSIVE").option("maxColumns", 20480)
-    df = reader.csv(path)
-    if not header:
-        df = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
-    df = df.select(*[F.nullif(quoted(c), F.lit("")).alias(c) for c in df.columns])
-    df = _numbered(df)
+    """Quoted fields may hold line feeds; short rows are filled with nulls, long ones cut; a blank line is a row of nulls, before the header nothing.
+
+    Files are read in splits. Lines with an odd number of quotes, if there are any, are joined to records by a running count along the files.
+    """
+    from ..operators.base import Context
+    from ..operators.sequence import counted_groups
+
+    lines = _lines(spark, path)
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    if lines.where(quotes % 2 == 1).limit(1).count():
+        ctx = Context(spark, [(ROW, False)])
+        lines = counted_groups(ctx, lines.withColumn("__q", quotes), "__q", ["__start", "__rank"])
+    text = F.trim(F.regexp_replace("value", "[ \t\r]+$", "")) != ""
+    firsts = _firsts(lines, text)
+    if not firsts:
+        return spark.createDataFrame([], T.StructType([T.StructField(ROW, T.LongType())]))
+    options = {"sep": delimiter, "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "nullValue": "", "emptyValue": "", "mode": "PERMISSIVE", "multiLine": "true", "maxColumns": "20480", "maxCharsPerColumn": "-1"}
+    head = lines.where(F.col(ROW) == firsts[0]).first()["value"]
+    cells = next(csv.reader(io.StringIO(head), delimiter=delimiter))
+    names = [c.strip() for c in cells] if header else [f"c{k}" for k in range(len(cells))]
+    # names may repeat or clash, so fields go by place
+    fields = ", ".join(f"f{k} string" for k in range(len(names)))
+    if header:  # what stands at and before the header of each file
+        starts = spark.createDataFrame([(r >> 45, r) for r in firsts], "__rank long, __head long")
+        lines = lines.join(F.broadcast(starts), "__rank").where(F.col(ROW) > F.col("__head"))  # a row a file
+    rows = lines.select(F.when(text, F.from_csv("value", fields, options)).alias("r"), ROW)
+    df = rows.select(*[F.nullif(F.col(f"r.f{k}"), F.lit("")).alias(n) for k, n in enumerate(names)], ROW)
     return typed(df, [c for c in df.columns if c != ROW]) if infer else df
 
 
@@ -79,7 +134,7 @@ def csv_rows(spark: SparkSession, text: str, delimiter: str = ",", header: bool
 
 def read_jsonl(spark: SparkSession, path: str | list[str], **_) -> DataFrame:
     """The columns of the first object; bad lines are skipped, nested values are JSON text."""
-    return _jsonl(_numbered(spark.read.text(path)))
+    return _jsonl(_lines(spark, path).select("value", ROW))
 
 
 def jsonl_rows(spark: SparkSession, text: str, **_) -> DataFrame:
@@ -88,18 +143,12 @@ def jsonl_rows(spark: SparkSession, text: str, **_) -> DataFrame:
 
 
 def _jsonl(lines: DataFrame) -> DataFrame:
-    good = lines.where(F.trim("value").startswith("{"))
-    names: list[str] = []
-    for row in good.orderBy(ROW).limit(20).collect():
-        try:
-            names = list(json.loads(row["value"]))
-            break
-        except ValueError:
-            continue
+    as_map = F.from_json("value", "map<string,string>")
+    df = lines.where(F.trim("value").startswith("{")).withColumn("__m", as_map).where("__m is not null")
+    first = df.orderBy(ROW).limit(1).collect()
+    names: list[str] = list(json.loads(first[0]["value"], strict=False)) if first else []
     if not names:
         return lines.select(ROW).where("false")
-    as_map = F.from_json("value", "map<string,string>")
-    df = good.withColumn("__m", as_map).where("__m is not null")
     df = df.select(*[F.col("__m")[n].alias(n) for n in names], *[F.get_json_object("value", f"$['{n}']").alias(f"__j_{n}") for n in names], F.col("value").alias("__line"), ROW)
     tests = [F.struct(F.count(quoted(n)).alias("n"), F.count_if(quoted(n).rlike(_INT)).alias("int"), F.count_if(quoted(n).rlike(_FLOAT)).alias("float"), F.count_if(quoted(n).isin("true", "false")).alias("bool"), F.count_if(F.col("__line").rlike(f'"{n}"\\s*:\\s*"')).alias("text")).alias(f"c{i}") for i, n in enumerate(names)]
     row = df.agg(*tests).first()
@@ -117,8 +166,7 @@ def _jsonl(lines: DataFrame) -> DataFrame:
 
 def read_text(spark: SparkSession, path: str | list[str], **_) -> DataFrame:
     """Lines as `_line`, empty ones too, without carriage returns."""
-    df = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("_line"))
-    return _numbered(df)
+    return _lines(spark, path).select(F.regexp_replace("value", "\r$", "").alias("_line"), ROW)
 
 
 def text_rows(spark: SparkSession, text: str, **_) -> DataFrame:
