@@ -343,10 +343,22 @@ def _extreme(f):
     return call
 
 
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _upper(c: Column) -> Column:
+    """Letters of ASCII only; others stay as they are."""
+    return F.translate(c, _LOW, _UP)
+
+
+def _lower(c: Column) -> Column:
+    return F.translate(c, _UP, _LOW)
+
+
 def _initcap(v: Typed) -> Typed:
-    low = F.lower(_text(v))
+    low = _lower(_text(v))
     parts = F.regexp_extract_all(low, F.lit(r"[^\s_-]+|[\s_-]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.substr(p, F.lit(2)))), ""), "string"
+    return F.array_join(F.transform(parts, lambda p: F.concat(_upper(F.left(p, F.lit(1))), F.substr(p, F.lit(2)))), ""), "string"
 
 
 def _mod(a: Typed, b: Typed) -> Typed:
@@ -369,8 +381,8 @@ def _replace(v: Typed, a: Typed, b: Typed) -> Typed:
 
 
 _FUNCS = {
-    "upper": (1, 1, lambda v: (F.upper(_text(v)), "string")),
-    "lower": (1, 1, lambda v: (F.lower(_text(v)), "string")),
+    "upper": (1, 1, lambda v: (_upper(_text(v)), "string")),
+    "lower": (1, 1, lambda v: (_lower(_text(v)), "string")),
     "initcap": (1, 1, _initcap),
     "len": (1, 1, _only(("string",), lambda c: F.octet_length(c).cast("bigint"), "int")),
     "trim": (1, 1, _only(("string",), strip)),

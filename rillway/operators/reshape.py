@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import quoted
 from ..functions.text import as_text
 from ..sources.files import read_csv, read_parquet
-from .base import Context, OpError, kinds, need, number, op, size_of, visible
+from .base import Context, OpError, kinds, need, number, op, visible
 
 
 def categories(ctx: Context, df: DataFrame, column: str, what: str) -> list[str]:
@@ -71,10 +71,6 @@ def stack(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     return above.unionByName(rows)
 
 
-#: A lookup is sent to all tasks below this many bytes, as Spark estimates or measures it; beyond it the join is by sort and merge.
-BROADCAST_BYTES = 64 << 20
-
-
 @op("join", required=("file", "on"), files=True)
 def join(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     """Lookup by equal keys, `on` as "left[=right][,...]"; keys compare as texts, null matches null. how: inner, left, right, full, semi, anti."""
@@ -102,8 +98,8 @@ def join(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     cond = same(*pairs[0])
     for p in pairs[1:]:
         cond = cond & same(*p)
-    small = size_of(look) <= BROADCAST_BYTES
-    out = df.join(F.broadcast(look) if small and how not in ("right", "full") else look, cond, how)
+    # whether the lookup is sent to all tasks is left to Spark, which measures it at run time
+    out = df.join(look, cond, how)
     if how in ("right", "full"):
         out = out.withColumns({a: F.coalesce(quoted(a), quoted(keys[b])) for a, b in pairs if kl[a] == kr[b]})
     return out.drop(*keys.values())

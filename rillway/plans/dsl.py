@@ -103,7 +103,9 @@ def _step(op: str, t: list[str]) -> dict:
             raise DslError(f"{op} needs an expression")
         return {"expr": _bare(t[0]) if len(t) == 1 else " ".join(t)}
     if op in ("select", "reorder", "unique", "dedup", "trim", "hash", "frequency", "fill-down", "unpivot", "stats"):
-        return {"stats" if op == "stats" else "columns": _list(t)}
+        if op == "stats":
+            return {"stats": [x for x in _list(t) if x not in ("--exact", "--approx")]} | {x.lstrip("-"): True for x in bare if x in ("--exact", "--approx")}
+        return {"columns": _list(t)}
     if op == "rename":
         return {"mapping": _pairs([y for x in t for y in _split(x, ",")])}
     if op == "derive":
@@ -118,7 +120,10 @@ def _step(op: str, t: list[str]) -> dict:
         return {"mapping": _pairs(t)}
     if op == "head":
         return _count(op, t, 0)
-    if op in ("skip", "tail", "sample"):
+    if op == "sample":
+        seed = [x.partition("=")[2] for x in bare[1:] if x.startswith("seed=")] + [b for a, b in zip(bare[1:], bare[2:]) if a == "--seed"]
+        return _count(op, t, 1) | ({"seed": int(seed[0])} if seed else {})
+    if op in ("skip", "tail"):
         return _count(op, t, 1 if op != "skip" else 0)
     if op == "top":
         args = _count(op, t, 1)

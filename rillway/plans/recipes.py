@@ -1,5 +1,6 @@
 """Named pipelines."""
 
+# fixed values: names and pipelines that users call
 RECIPES = {
     "profile": "csv | stats | csv",
     "preview": "csv | head 10 | csv",
