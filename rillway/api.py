@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass, field
 from types import SimpleNamespace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import OPS, ROW, Context
@@ -25,6 +25,13 @@ class Result:
     errors: list[dict] = field(default_factory=list)
     stats: list[dict] = field(default_factory=list)
     samples: list[dict] = field(default_factory=list)
+    #: (operator, rows in, rows out) as Spark observes them while the result is first written or rendered.
+    observed: list[tuple] = field(default_factory=list)
+
+    def _note(self) -> None:
+        while self.observed:
+            op, *both = self.observed.pop(0)
+            self.stats.append({"op": op} | {k: o.get["n"] for k, o in zip(("rows_in", "rows_out"), both)})
 
     @property
     def ordered(self) -> DataFrame:
@@ -37,7 +44,9 @@ class Result:
     @property
     def output_text(self) -> str:
         enc = self.encoder or Step("codec.csv.encode")
-        return files.render(self.ordered, enc.op.split(".")[1], **enc.args)
+        text = files.render(self.ordered, enc.op.split(".")[1], **enc.args)
+        self._note()
+        return text
 
     @property
     def output(self) -> bytes:
@@ -50,6 +59,7 @@ class Result:
     def write(self, path: str) -> None:
         enc = self.encoder or Step("codec.parquet.encode")
         files.write(self.ordered, enc.op.split(".")[1], path, **enc.args)
+        self._note()
 
 
 #: Operators that change columns where they stand.
@@ -76,22 +86,33 @@ class Pipeline:
     def to_json(self) -> str:
         return self.plan.to_json()
 
-    def apply(self, df: DataFrame, order: list | str | None = None, **options) -> Result:
-        """The transforms over df, as a lazy DataFrame. order: column, or columns ("-name" for descending), that fix the order of rows."""
+    def apply(self, df: DataFrame, order: list | str | None = None, count: bool = False, params: dict | None = None, **options) -> Result:
+        """The transforms over df, as a lazy DataFrame; operators that need something of the data first (categories, bounds, the ranges of long tables) run small jobs of their own here.
+
+        order: column, or columns ("-name" for descending), that fix the order of rows. count: also the numbers of rows that filters take in and
+        let through, observed along with the result.
+        """
         if isinstance(order, str):
             order = [order]
         keys = [(o.lstrip("-"), o.startswith("-")) if isinstance(o, str) else o for o in order or ([ROW] if ROW in df.columns else [])]
         ctx = Context(df.sparkSession, keys, **options)
-        encoder = None
-        for step in self.plan.steps:
+        encoder, observed = None, []
+        for k, step in enumerate(self.plan.with_params(params or {}).steps):
             if step.op.startswith("codec."):
                 encoder = step if step.op.endswith(".encode") else encoder
                 continue
+            ctx.place = k
+            seen = [Observation(), Observation()] if count and step.op in ("filter", "grep") else []
+            if seen:
+                df = df.observe(seen[0], F.count(F.lit(1)).alias("n"))
             df = OPS[step.op].apply(ctx, keep_order(ctx, df, step), step.args)
-        return Result(df.drop(RANGE), ctx.order, encoder, ctx.errors)
+            if seen:
+                df = df.observe(seen[1], F.count(F.lit(1)).alias("n"))
+                observed.append((step.op, *seen))
+        return Result(df.drop(RANGE), ctx.order, encoder, ctx.errors, observed=observed)
 
-    def run(self, spark: SparkSession | None = None, input: str | bytes | None = None, input_file: str | None = None, df: DataFrame | None = None, count: bool = False, **options) -> Result:
-        """From a text, a path or a DataFrame. count: also the numbers of rows in and out of the transforms, by an action of their own."""
+    def run(self, spark: SparkSession | None = None, input: str | bytes | None = None, input_file: str | None = None, df: DataFrame | None = None, **options) -> Result:
+        """From a text, a path or a DataFrame; options as those of apply()."""
         spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
         first = self.plan.steps[0]
         fmt, args = (first.op.split(".")[1], first.args) if first.op.endswith(".decode") else ("csv", {})
@@ -104,10 +125,7 @@ class Pipeline:
                 df = files.READERS[fmt](spark, path, **rest)
             else:
                 raise ValueError("no input")
-        out = self.apply(df, **options)
-        if count:
-            out.stats.append({"rows_in": df.count(), "rows_out": out.df.count()})
-        return out
+        return self.apply(df, **options)
 
 
 def pipeline(steps: str | list | dict | None = None, recipe: str | None = None) -> Pipeline:
@@ -162,6 +180,12 @@ def expr(text: str) -> str:
     return text
 
 
+def version() -> str:
+    from . import __version__
+
+    return __version__
+
+
 class _Ops:
     """ops.<name>(...): steps; positional arguments in the order of the operator's own, the rest by name."""
 

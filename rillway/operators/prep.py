@@ -63,7 +63,7 @@ def label_encode(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
         names = first.schema["__f"].dataType.names
         flat = [f"__f{k}" for k in range(len(names))]
         first = first.select("__v", *[F.col("__f")[n].alias(f) for n, f in zip(names, flat)])
-    known = ctx.seen().get("labels", {})
+    known = dict(map(tuple, ctx.seen().get("labels", [])))
     if ctx.memory is not None:
         first = first.where(~F.col("__v").isin(list(known))) if known else first
     inside = Context(ctx.spark, [(f, key[0] is F.min_by) for f in flat], block=ctx.block)
@@ -73,7 +73,7 @@ def label_encode(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
         if len(known) + len(new) > ctx.max_categories:
             raise OpError(f"label-encode in a stream: more than {ctx.max_categories} values; raise max_categories")
         known = known | {r["__v"]: r[name] + len(known) for r in new}
-        ctx.remember("labels", known)
+        ctx.remember("labels", list(known.items()))
         ids = df.sparkSession.createDataFrame(list(known.items()), f"__v {df.schema[args['column']].dataType.simpleString()}, {name} long")
     return df.join(ids, quoted(args["column"]) == F.col("__v"), "left").drop("__v", "__i")
 

@@ -16,6 +16,24 @@ class Step:
     args: dict = field(default_factory=dict)
 
 
+class Param(dict):
+    """A value that is filled in when the plan is run; in JSON an object with the key $param."""
+
+
+def param(name: str, default=None) -> Param:
+    return Param({"$param": name, "default": default})
+
+
+def _filled(x, values: dict):
+    if isinstance(x, dict):
+        if "$param" in x:
+            if x["$param"] not in values and x.get("default") is None:
+                raise PlanError(f"no value for parameter {x['$param']}")
+            return values.get(x["$param"], x.get("default"))
+        return {k: _filled(v, values) for k, v in x.items()}
+    return [_filled(v, values) for v in x] if isinstance(x, (list, tuple)) else x
+
+
 DECODERS = ("codec.csv.decode", "codec.jsonl.decode", "codec.text.decode", "codec.parquet.decode")
 ENCODERS = ("codec.csv.encode", "codec.jsonl.encode", "codec.text.encode", "codec.table.encode", "codec.parquet.encode")
 
@@ -57,6 +75,24 @@ class Plan:
                     raise PlanError(f"{s.op}: missing {', '.join(missing)}")
         return self
 
+    @property
+    def capabilities(self) -> dict[str, bool]:
+        """What holds for all its operators: whether the plan runs on a stream, holds bounded memory in a task, gives the same result each time, and whether it reads no further files."""
+        from ..operators import OPS
+
+        ops = [OPS[s.op] for s in self.steps if s.op in OPS]
+        ends = [s.op for s in self.steps if s.op == "codec.table.encode"]
+        return {
+            "streaming": all(o.stateless or o.stateful for o in ops) and not ends,
+            "bounded_memory": all(o.bounded for o in ops) and not ends,
+            "deterministic": all(o.deterministic or s.args.get("seed") is not None for o, s in zip(ops, (s for s in self.steps if s.op in OPS))),
+            "no_files": not any(o.files for o in ops),
+        }
+
+    def with_params(self, values: dict) -> Plan:
+        """The plan with its parameters filled in."""
+        return Plan([Step(s.op, _filled(s.args, values)) for s in self.steps])
+
     @property
     def streamable(self) -> bool:
         """Whether every transform runs row by row, so that the plan runs on a streaming DataFrame as it is."""

@@ -1 +1 @@
-from .stream import run_stream, stateful_unique, transform_stream  # noqa: F401
+from .stream import Memory, StreamError, run_stream, stateful_unique, transform_stream  # noqa: F401
