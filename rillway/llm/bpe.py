@@ -84,7 +84,7 @@ class Kept:
 class Coder:
     """encode() and decode() of one tokenizer file, with reuse. bits: chunks have about 2 ** bits bytes."""
 
-    def __init__(self, path: str, words: int = 120_000, chunk_bytes: int = 16 << 20, bits: int = 10) -> None:
+    def __init__(self, path: str, words: int = 80_000, chunk_bytes: int = 8 << 20, bits: int = 10) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
