@@ -120,6 +120,8 @@ def turns_for(dim: int, size: int, least: int, threshold: float, miss: float, pa
 def _decoded(vectors: DataFrame, size: int, least: int, turns: dict[int, int]) -> DataFrame:
     """(cls, rep, n, v, dim, filters) of each class; filters ascending."""
 
+    kind = np.int32 if max(turns.values(), default=1) * size**2 < 2**31 else np.int64
+
     def run(batches):
         codes: dict[int, list[ProductCode]] = {}
         for b in batches:
@@ -146,10 +148,10 @@ def _decoded(vectors: DataFrame, size: int, least: int, turns: dict[int, int]) -
                     for r, a, z in zip(part.tolist(), edges, edges[1:]):
                         lists[r] = what[a:z]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)])))
+            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(kind), pa.from_numpy_dtype(kind)))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(dims), out], ["cls", "rep", "n", "v", "dim", "filters"])
 
-    return vectors.select("cls", "rep", "n", "v").mapInArrow(run, f"cls long, rep long, n long, v {vectors.schema['v'].dataType.simpleString()}, dim long, filters array<long>")
+    return vectors.select("cls", "rep", "n", "v").mapInArrow(run, f"cls long, rep long, n long, v {vectors.schema['v'].dataType.simpleString()}, dim long, filters array<{'int' if kind == np.int32 else 'long'}>")
 
 
 def _earlier(lists: list[np.ndarray], who: np.ndarray, f: int) -> np.ndarray:
@@ -244,13 +246,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     turns = {r.d: turns_for(r.d, size, least, threshold, miss) for r in plain.select(F.size("v").alias("d")).distinct().collect()}
     classes, _ = cut(_decoded(plain, size, least, turns))
     drop(spark, p0)
-    dealt = classes.select("cls", "n", "v", "dim", "filters", F.explode("filters").alias("f"))
-    sizes = classes.select("dim", F.explode("filters").alias("f")).groupBy("dim", "f").count().where(F.col("count") > 1)
-    dealt = dealt.join(sizes, ["dim", "f"])
-    chunks = F.ceil(F.col("count") / F.lit(group_cap)).cast("int")
+    # only crowded caps are cut into chunks; they are written down, so that Spark knows how few they are before it deals the vectors
+    crowded = classes.select("dim", F.explode("filters").alias("f")).groupBy("dim", "f").count().where(F.col("count") > group_cap)
+    crowded, p1 = cut(crowded)
+    dealt = classes.select("cls", "n", "v", "dim", "filters", F.explode("filters").alias("f")).join(crowded, ["dim", "f"], "left")
+    chunks = F.coalesce(F.ceil(F.col("count") / F.lit(group_cap)), F.lit(1)).cast("int")
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("cls"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     dealt = dealt.withColumn("c1", F.least("mine", "other")).withColumn("c2", F.greatest("mine", "other"))
     found, _ = cut(grouped(dealt, ["dim", "f", "c1", "c2"], [], _compare(threshold), "cls long, links long, low long", {"cls": "num", "n": "num", "v": "list", "filters": "ragged", "mine": "num"}))
+    drop(spark, p1)
     comp, _ = components(found.select(F.col("cls").alias("a"), F.col("low").alias("b")))
     comp = comp.select(F.col("id").alias("cls"), F.col("component").alias("label"))
     counts = found.groupBy("cls").agg(F.sum("links").alias("links"))
