@@ -61,18 +61,18 @@ def samples(df: DataFrame, cols: list[str], n: int = 10) -> DataFrame:
 
 
 #: Below this estimated size of the input, quantiles are taken from one buffer of all distinct values of a column.
-QUANTILE_BYTES = 64 << 20
+QUANTILE_BYTES = 1 << 20
 
 
 def quantiles(df: DataFrame, values: dict[str, Column], shares: list[float], block: int = 1_000_000) -> dict[str, dict[float, float | None]]:
     """Exact quantiles (linear between neighbours) of each value, with no task that holds a whole column.
 
-    Values are counted in ranges of about `block` (4,096 at most) cut at a sample; a range that holds a quantile is then counted value by value and sorted up to the rank.
+    Values are counted in ranges of about `block` rows (64 to 4,096 ranges) cut at a sample; a range that holds a quantile is then counted value by value and sorted up to the rank.
     """
     xs = list(values)
     d = df.select(*[v.alias(x) for x, v in values.items()])
     n = d.count()
-    ranges = min(4096, n // block + 2)
+    ranges = min(4096, max(64, n // block))
     rows = d.sample(min(1.0, 32 * ranges / max(1, n)), seed=17).collect()  # about 32 rows a range
     cuts = {}
     for x in xs:
