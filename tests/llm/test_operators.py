@@ -46,6 +46,59 @@ def test_quality_scores_are_sums_of_weights():
     assert (np.diff(m.t) > 0).all() and np.allclose(m.probabilities(m.linear(texts)).sum(1), 1)
 
 
+def test_quality_fit_against_brute_force():
+    rng = np.random.default_rng(12)
+    n, k, ridge = 60, 3, 1e-2
+    x = rng.random((n, 4))
+    y = np.clip(np.round(x @ [2.0, -1, 0, 1] + rng.normal(0, 0.7, n)), 0, k - 1).astype(int)
+    model = quality.Ordinal([0, 1, 2])
+    doc, bucket = np.nonzero(x)
+    model.fit(doc, bucket * 7, x[doc, bucket], y, steps=6000, rate=0.02, ridge=ridge)
+
+    def loss(p):  # written out: weights, first threshold, log of the step to the second
+        t = [p[4], p[4] + math.exp(p[5])]
+        total = 0.0
+        for row, g in zip(x, y):
+            c = [0.0] + [1 / (1 + math.exp(sum(a * b for a, b in zip(row, p)) - b_)) for b_ in t] + [1.0]
+            total -= math.log(c[g + 1] - c[g])
+        return total / n + ridge / 2 * sum(w * w for w in p[:4])
+
+    p = np.zeros(6)
+    for rate in (0.5, 0.1, 0.02):
+        step = np.full(6, rate)
+        for _ in range(60):  # coordinate search
+            for j in range(6):
+                for move in (step[j], -step[j]):
+                    q = p.copy()
+                    q[j] += move
+                    if loss(q) < loss(p) - 1e-12:
+                        p, step[j] = q, step[j] * 1.3
+                        break
+                else:
+                    step[j] *= 0.5
+    got = np.array([*model.w[[0, 7, 14, 21]], model.t[0], math.log(model.t[1] - model.t[0])])
+    assert loss(got) < loss(p) + 1e-4 and np.abs(model.t - [p[4], p[4] + math.exp(p[5])]).max() < 0.2
+
+
+def test_quality_selection_against_brute_force(spark, docs):
+    rng = np.random.default_rng(13)
+    m = quality.Ordinal([1, 2, 5])
+    m.w, m.t = rng.standard_normal(quality.N), np.array([-0.5, 0.7])
+    few = docs.where("length(text) < 60000 or text is null")
+    for tail in (None, 2):
+        want = {}
+        for r in few.collect():
+            (at, v), = quality.sparse([(r.text or "").encode()])
+            c = [1 / (1 + math.exp(float((m.w[at] * v).sum()) - t)) for t in m.t]
+            p = [c[0], c[1] - c[0], 1 - c[1]]
+            high = p[2] if tail is None else p[1] + p[2]
+            want[r.doc_id] = (p[0] + 2 * p[1] + 5 * p[2], high, high >= 0.5)
+        got = {r.doc_id: tuple(r)[1:] for r in quality.score(few, m, tail).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k][:2], want[k][:2]) and got[k][2] == want[k][2] for k in want)
+        kept = quality.keep_good(few, m, tail)
+        assert kept.columns == few.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in few.collect() if want[r.doc_id][2])
+
+
 def test_quality_orders_three_grades(spark):
     rng = random.Random(1)
     good, bad = "alpha beta gamma delta".split(), "junk spam click buy".split()
@@ -665,6 +718,71 @@ def test_segments_against_brute_force():
         assert sorted(got) == sorted(brute(x))
 
 
+def test_toxicity_scores_against_brute_force():
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 5, 60, 900]))) for _ in range(60)] + ["", "Ab! ab"]
+    model = toxicity.Model()
+    of = {w: toxicity.words([w.encode()], toxicity.PREFIXES)[0].ravel().tolist() for w in [*words, "ab"]}
+    bad = {}
+    for w in rng.sample(words, 40):
+        for h in of[w]:
+            if h and rng.random() < 0.5:
+                bad[h] = round(rng.uniform(0.2, 4), 3)
+    model.hashes = np.array(sorted(bad), np.uint64)
+    model.scores = np.array([bad[int(h)] for h in model.hashes])
+    model.map[model.hashes >> np.uint64(44)] = True
+    model.gap, model.lam, model.k = -0.4, 0.8, 0.2
+    for t, (n, at, score) in zip(texts, model.hits([t.encode() for t in texts])):
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        best = [max((bad[h] for h in of[w] if h in bad), default=None) for w in own]
+        assert n == len(own) and at.tolist() == [k for k, s in enumerate(best) if s is not None]
+        assert score.tolist() == [s for s in best if s is not None]
+        # the segments by their definition, then the calibration as written in the docstring
+        steps = [model.gap if s is None else s for s in best]
+        f = model.features(n, at, score)
+        whole = [sum(steps[a : z + 1]) for a, z, _ in toxicity.segments(at, score, model.gap)]
+        expect = [model.k * max(n, 1) * math.exp(-model.lam * s) for s in whole]
+        low = min(expect, default=model.k * max(n, 1))
+        assert abs(f[0] - math.tanh(-math.log(low) / 20)) < 1e-9 and abs(f[2] - math.log1p(sum(-math.log(e) for e in expect if e < 1))) < 1e-9
+
+
+def test_toxicity_log_odds_and_moment():
+    t, c, nt, nc, prior = 7.0, 3.0, 40.0, 160.0, 20.0
+    a = prior * (t + c) / (nt + nc)
+    d = math.log((t + a) / (nt + prior - t - a)) - math.log((c + a) / (nc + prior - c - a))
+    got = toxicity.log_odds(np.array([t]), np.array([c]), nt, nc, prior)
+    assert abs(got[0][0] - d) < 1e-12 and abs(got[1][0] - d / math.sqrt(1 / (t + a) + 1 / (c + a))) < 1e-12
+    scores, share = np.array([1.0, 2.5]), np.array([0.02, 0.01])
+    lam = toxicity._moment(scores, share, -0.3)
+    assert abs((share * np.exp(lam * scores)).sum() + 0.97 * math.exp(-0.3 * lam) - 1) < 1e-6
+
+
+def test_toxicity_link_is_the_most_likely():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 3))
+    y = (x @ [1, -2, 0.5] + rng.logistic(size=200) > 0).astype(float)
+    model = toxicity.Model()
+    model.link(x, y)
+    z = np.hstack([np.ones((200, 1)), (x - x.mean(0)) / (x.std(0) + 1e-9)])
+
+    def loss(w):
+        return sum(math.log1p(math.exp(-v if t else v)) for v, t in zip(z @ w, y)) + 0.5 * (w[1:] ** 2).sum()
+
+    best = loss(model.weights)
+    assert all(loss(model.weights + d) >= best - 1e-9 for d in 0.05 * rng.standard_normal((100, 4)))
+
+
+def test_toxicity_clashing_names_and_very_long_texts(spark, docs):
+    rows = [(k, ("vile slur " if k % 2 else "kind word ") * 30 + f"t{k}", k % 2) for k in range(60)]
+    df = spark.createDataFrame([(k, t, 9, "x", 1.0) for k, t, _ in rows] + [(1000, "kind word " * 90_000 + "vile slur " * 40, 9, "x", 1.0)], "doc_id long, text string, toxic int, predicted string, score double")
+    model = toxicity.fit(df, spark.createDataFrame([(k, y, "z") for k, _, y in rows], "doc_id long, toxic int, text string"))
+    got = by_id(toxicity.score(df, model))
+    assert all(got[k].predicted == y for k, _, y in rows) and len(got) == 61
+    first, last = map(int, got[1000].passages.split(",")[-1].split(":"))
+    assert got[1000].n_passages >= 1 and 179_000 < first and last == 180_079
+
+
 def test_toxicity_held_out(spark):
     d, y = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     known = d.join(y, "doc_id", "left_semi")
@@ -698,6 +816,41 @@ def test_sql_of_queries(spark):
         assert sorted(map(tuple, cur.fetchall())) == sorted(tuple(r) for r in QUERIES[name](spark, SF).select(*cols).collect())
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.limit(40).union(docs.limit(40)).union(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))).union(docs.limit(3).withColumn("text", F.lit(None).cast("string")))
+    odd = odd.union(docs.limit(2).withColumn("text", F.lit("")))
+    more = odd.withColumns({"fp": F.lit(1), "t": F.lit("x"), "row": F.lit(2), "__spans": F.lit("y")})
+    for start in (odd, docs.where("false"), more):
+        seen = [start]
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, seen[-1], SF)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == start.columns
+            seen.append(out.cache())
+        counts = [x.count() for x in seen]
+        assert counts == sorted(counts, reverse=True) and (counts[-1] > 0) == (counts[0] > 0)
+        if counts[0]:
+            # unlike texts of one id both stay
+            ids = [(r.doc_id, r.text) for r in seen[2].collect() if r.doc_id is not None]
+            assert len(set(ids)) == len(ids)
+
+
+def test_pipeline_quality_stage_against_brute_force(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    want = set()
+    for r in docs.collect():
+        (at, v), = quality.sparse([(r.text or "").encode()])
+        if 1 / (1 + math.exp(model.t[-1] - float((model.w[at] * v).sum()))) >= 0.5:
+            want.add(r.doc_id)
+    assert {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, SF).collect()} == want
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     from tokenizers import Tokenizer
