@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages over documents, each over all its predecessor kept."""
+"""The corpus pipeline: five stages over documents, each over all its predecessor kept.
+
+All stages but the last return the columns of documents, whatever further ones there are and whatever their names.
+
+Defined results: a null text counts as empty: it is rated like any other, links with other texts without words, holds no item and no secret, and has no
+tokens. Rows without a doc_id are kept by the deduplication. Repeated rows are one document for it; unlike texts with one id are two, and both may stay; of a
+group the row of the smallest id stays, of several texts with that id the one with the smallest hash. Very long texts are worked on whole. An empty table gives an
+empty result of the same columns. Without ratings, or with one grade only, the first stage keeps everything. n_chars follows a text that secrets are removed from.
+"""
 
 from __future__ import annotations
 
