@@ -25,13 +25,17 @@ class Result:
     errors: list[dict] = field(default_factory=list)
     stats: list[dict] = field(default_factory=list)
     samples: list[dict] = field(default_factory=list)
-    #: (operator, rows in, rows out) as Spark observes them while the result is first written or rendered.
+    #: (operator, rows in, rows out) to be observed when the result is first written or rendered.
     observed: list[tuple] = field(default_factory=list)
 
     def _note(self) -> None:
-        while self.observed:
-            op, *both = self.observed.pop(0)
+        """Runs the plan once for its counts, which Spark reports for such a run alone and not for rows that are iterated over."""
+        if not self.observed:
+            return
+        self.df.write.format("noop").mode("overwrite").save()
+        for op, *both in self.observed:
             self.stats.append({"op": op} | {k: o.get["n"] for k, o in zip(("rows_in", "rows_out"), both)})
+        self.observed.clear()
 
     @property
     def ordered(self) -> DataFrame:
@@ -44,9 +48,8 @@ class Result:
     @property
     def output_text(self) -> str:
         enc = self.encoder or Step("codec.csv.encode")
-        text = files.render(self.ordered, enc.op.split(".")[1], **enc.args)
         self._note()
-        return text
+        return files.render(self.ordered, enc.op.split(".")[1], **enc.args)
 
     @property
     def output(self) -> bytes:
@@ -58,8 +61,8 @@ class Result:
 
     def write(self, path: str) -> None:
         enc = self.encoder or Step("codec.parquet.encode")
-        files.write(self.ordered, enc.op.split(".")[1], path, **enc.args)
         self._note()
+        files.write(self.ordered, enc.op.split(".")[1], path, **enc.args)
 
 
 #: Operators that change columns where they stand.
@@ -90,7 +93,7 @@ class Pipeline:
         """The transforms over df, as a lazy DataFrame; operators that need something of the data first (categories, bounds, the ranges of long tables) run small jobs of their own here.
 
         order: column, or columns ("-name" for descending), that fix the order of rows. count: also the numbers of rows that filters take in and
-        let through, observed along with the result.
+        let through, by a run of its own before the result is written.
         """
         if isinstance(order, str):
             order = [order]

@@ -76,11 +76,11 @@ def top(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     """The n largest (or smallest) values, in that order. A null counts as -1e308, a text as 0; ties keep the earlier row."""
     kind = kinds(df).get(args["column"])
     c = quoted(args["column"]).cast("double") if kind in ("int", "float") else F.lit(0.0) if kind else F.lit(-1e308)
-    df = df.withColumn("__rank", F.coalesce(c, F.lit(-1e308)))
-    out = df.orderBy(F.col("__rank").desc() if args.get("desc", True) else F.col("__rank").asc(), *(ctx.sorting("top") if ctx.order else [])).limit(int(args["n"]))
-    keep = [(args["column"], bool(args.get("desc", True)))] if kind else []
-    ctx.order = keep + [k for k in ctx.order if k[0] != args["column"]]
-    return out.drop("__rank")
+    rank = next(n for k in range(len(df.columns) + 1) if (n := f"__top{k}") not in df.columns)
+    desc = bool(args.get("desc", True))
+    df = df.withColumn(rank, F.coalesce(c, F.lit(-1e308)))
+    ctx.order = [(rank, desc), *ctx.order]
+    return df.orderBy(*ctx.sorting("top")).limit(int(args["n"]))
 
 
 @op("sample", required=("n",), deterministic=False)

@@ -45,13 +45,15 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         raise ValueError("more than 262,143 files at once")
     meta = F.col("_metadata")
     id_ = F.monotonically_increasing_id()
-    df = df.select("value", F.regexp_replace(meta["file_path"], plain, "$1:/").alias("__path"), meta["file_block_start"].alias("__at"), id_.alias("__id"))
+    df = df.select("value", F.regexp_replace(meta["file_path"], plain, "$1:/").alias("__path"), meta["file_block_start"].alias("__at"), meta["file_block_length"].alias("__size"), id_.alias("__id"))
     if len(files) > 1:
         ranks = spark.createDataFrame([(f, k) for k, f in enumerate(files)], "__path string, __rank long")
         df = df.join(F.broadcast(ranks), "__path")  # a row a file
     else:
         df = df.withColumn("__rank", F.lit(0).cast("bigint"))
-    place = F.shiftleft("__rank", 45).bitwiseOR(F.shiftleft(F.shiftright("__at", 20), 27)).bitwiseOR(F.col("__id").bitwiseAND(F.lit((1 << 27) - 1)))
+    # splits are of one size but for a file's last, which is shorter: its number comes out higher, so it stays the last
+    split = F.least(F.floor(F.col("__at") / F.greatest("__size", F.lit(1))), F.lit((1 << 18) - 1)).cast("bigint")
+    place = F.shiftleft("__rank", 45).bitwiseOR(F.shiftleft(split, 27)).bitwiseOR(F.col("__id").bitwiseAND(F.lit((1 << 27) - 1)))
     return df.select("value", (F.col("__at") == 0).alias("__start"), "__rank", place.alias(ROW))
 
 
@@ -92,10 +94,13 @@ def read_csv(spark: SparkSession, path: str | list[str], delimiter: str = ",", h
 
     Files are read in splits. Lines with an odd number of quotes, if there are any, are joined to records by a running count along the files.
     """
+    return _csv(spark, _lines(spark, path), delimiter, header, infer)
+
+
+def _csv(spark: SparkSession, lines: DataFrame, delimiter: str, header: bool, infer: bool) -> DataFrame:
     from ..operators.base import Context
     from ..operators.sequence import counted_groups
 
-    lines = _lines(spark, path)
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
     if lines.where(quotes % 2 == 1).limit(1).count():
         ctx = Context(spark, [(ROW, False)])
@@ -107,8 +112,10 @@ def read_csv(spark: SparkSession, path: str | list[str], delimiter: str = ",", h
     options = {"sep": delimiter, "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "nullValue": "", "emptyValue": "", "mode": "PERMISSIVE", "multiLine": "true", "maxColumns": "20480", "maxCharsPerColumn": "-1"}
     head = lines.where(F.col(ROW) == firsts[0]).first()["value"]
     cells = next(csv.reader(io.StringIO(head), delimiter=delimiter))
-    names = [c.strip() for c in cells] if header else [f"c{k}" for k in range(len(cells))]
-    # names may repeat or clash, so fields go by place
+    names: list[str] = []
+    for k, c in enumerate(cells):  # a name that stands there before, or none, gets a number
+        c = (c.strip() or f"c{k}") if header else f"c{k}"
+        names.append(c if c not in names else next(n for j in range(2, len(cells) + 2) if (n := f"{c}_{j}") not in names))
     fields = ", ".join(f"f{k} string" for k in range(len(names)))
     if header:  # what stands at and before the header of each file
         starts = spark.createDataFrame([(r >> 45, r) for r in firsts], "__rank long, __head long")
@@ -118,18 +125,12 @@ def read_csv(spark: SparkSession, path: str | list[str], delimiter: str = ",", h
     return typed(df, [c for c in df.columns if c != ROW]) if infer else df
 
 
-def csv_rows(spark: SparkSession, text: str, delimiter: str = ",", header: bool = True, **_) -> DataFrame:
-    """CSV in memory; a blank line is a row of nulls, as files of one empty column need."""
-    rows = list(csv.reader(io.StringIO(text), delimiter=delimiter))
-    while rows and not rows[0]:
-        rows.pop(0)
-    names = (rows.pop(0) if header else [f"c{k}" for k in range(len(rows[0]))]) if rows else []
-    if not names:
-        return spark.createDataFrame([], T.StructType([T.StructField(ROW, T.LongType())]))
-    data = [[(r[k].strip(" \t") or None) if k < len(r) else None for k in range(len(names))] + [i] for i, r in enumerate(rows)]
-    schema = T.StructType([T.StructField(n.strip(), T.StringType()) for n in names] + [T.StructField(ROW, T.LongType())])
-    df = spark.createDataFrame(data, schema)
-    return typed(df, schema.names[:-1])
+def csv_rows(spark: SparkSession, text: str, delimiter: str = ",", header: bool = True, infer: bool = True, **_) -> DataFrame:
+    """CSV in memory, read as a file is."""
+    rows = [(x, True, 0, i) for i, x in enumerate(re.split(r"\r\n|\n|\r", text))]
+    if rows and not rows[-1][0]:
+        rows.pop()
+    return _csv(spark, spark.createDataFrame(rows, f"value string, __start boolean, __rank long, {ROW} long"), delimiter, header, infer)
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], **_) -> DataFrame:
