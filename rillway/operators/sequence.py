@@ -24,8 +24,6 @@ from .base import Context, OpError, kinds, need, number, op, size_of, visible
 
 RANGE = "__rng"
 MAX_RANGES = 1 << 13
-#: Rows of a range that is worth a task of its own.
-LEAST = 100_000
 #: Sampled keys for each range.
 SAMPLE = 32
 #: Values that all ranges together may hand on as the rows before each of them.
@@ -68,8 +66,6 @@ def _cuts(ctx: Context, df: DataFrame, key: Column, down: bool) -> list[tuple]:
     n = df.count()
     row = min(size_of(df) / max(1, n), 1 << 14)
     ranges = min(MAX_RANGES, n // max(1, min(ctx.block, int(ctx.block_bytes / max(row, 1)))) + 1)
-    # a table of one range still is worth dealing to all cores if it is long
-    ranges = max(ranges, min(df.sparkSession.sparkContext.defaultParallelism, n // LEAST))
     if ranges <= 1:
         return []
     # bounded: a few keys for each range; they only balance the work, so any will do
