@@ -7,6 +7,7 @@ import io
 import json
 import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +34,12 @@ def scratch(spark: SparkSession) -> str:
     return own
 
 
-def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(value, __first, ROW): all lines of text files, empty ones too, numbered by path, then place in the file; __first: whether it is a file's first line.
+def _lines(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
+    """(value, __start, __rank, ROW): all lines of text files, empty ones too, numbered by path, then place in the file; __start: whether it is of a file's first split.
 
     Files are read in splits. Within a split Spark's row numbers follow the file; so a number is made of the file's rank, the split and that.
     """
-    df = spark.read.text(path)
+    df = spark.read.options(**options).text(path)
     plain = r"^(\w+):/+"  # the two sides write schemes with one slash or three
     files = sorted({re.sub(plain, r"\1:/", f) for f in df.inputFiles()})
     if len(files) >= 1 << 18:
@@ -90,26 +91,38 @@ def typed(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], delimiter: str = ",", header: bool = True, infer: bool = True, **_) -> DataFrame:
-    """Quoted fields may hold line feeds; short rows are filled with nulls, long ones cut; a blank line is a row of nulls, before the header nothing.
+    """Quoted fields may hold line breaks and white space at their ends; short rows are filled with nulls, long ones cut; a blank line is a row of nulls, before the header nothing.
 
     Files are read in splits. Lines with an odd number of quotes, if there are any, are joined to records by a running count along the files.
     """
-    return _csv(spark, _lines(spark, path), delimiter, header, infer)
+    return _csv(spark, _records(spark, _lines(spark, path, lineSep="\n"), lambda: _lines(spark, path)), delimiter, header, infer)
 
 
-def _csv(spark: SparkSession, lines: DataFrame, delimiter: str, header: bool, infer: bool) -> DataFrame:
+def _records(spark: SparkSession, lines: DataFrame, anew: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """Lines that end with a line feed, joined where quoted fields hold more of them, without the carriage return of CR LF.
+
+    Where a carriage return by itself ends a record, all is read by `anew`, in which every kind of break ends a line; then a break in a quoted field is a line feed.
+    """
     from ..operators.base import Context
     from ..operators.sequence import counted_groups
 
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    if lines.where(quotes % 2 == 1).limit(1).count():
+    bare = F.regexp_replace("value", r"\r\z", "")
+    row = lines.agg(F.bool_or(quotes % 2 == 1).alias("odd"), F.bool_or(bare.contains("\r")).alias("cr")).first()
+    if row.odd:
         ctx = Context(spark, [(ROW, False)])
         lines = counted_groups(ctx, lines.withColumn("__q", quotes), "__q", ["__start", "__rank"])
+    if row.cr and anew and lines.where(bare.contains("\r")).where(F.regexp_replace(bare, '"[^"]*"', "").contains("\r")).limit(1).count():
+        return _records(spark, anew())
+    return lines.withColumn("value", bare)
+
+
+def _csv(spark: SparkSession, lines: DataFrame, delimiter: str, header: bool, infer: bool) -> DataFrame:
     text = F.trim(F.regexp_replace("value", "[ \t\r]+$", "")) != ""
     firsts = _firsts(lines, text)
     if not firsts:
         return spark.createDataFrame([], T.StructType([T.StructField(ROW, T.LongType())]))
-    options = {"sep": delimiter, "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "nullValue": "", "emptyValue": "", "mode": "PERMISSIVE", "multiLine": "true", "maxColumns": "20480", "maxCharsPerColumn": "-1"}
+    options = {"sep": delimiter, "escape": '"', "charToEscapeQuoteEscaping": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "nullValue": "", "emptyValue": "", "mode": "PERMISSIVE", "multiLine": "true", "maxColumns": "20480", "maxCharsPerColumn": "-1"}
     head = lines.where(F.col(ROW) == firsts[0]).first()["value"]
     cells = next(csv.reader(io.StringIO(head), delimiter=delimiter))
     names: list[str] = []
@@ -127,10 +140,13 @@ def _csv(spark: SparkSession, lines: DataFrame, delimiter: str, header: bool, in
 
 def csv_rows(spark: SparkSession, text: str, delimiter: str = ",", header: bool = True, infer: bool = True, **_) -> DataFrame:
     """CSV in memory, read as a file is."""
-    rows = [(x, True, 0, i) for i, x in enumerate(re.split(r"\r\n|\n|\r", text))]
-    if rows and not rows[-1][0]:
-        rows.pop()
-    return _csv(spark, spark.createDataFrame(rows, f"value string, __start boolean, __rank long, {ROW} long"), delimiter, header, infer)
+    def lines(end: str) -> DataFrame:
+        rows = [(x, True, 0, i) for i, x in enumerate(re.split(end, text))]
+        if rows and not rows[-1][0]:
+            rows.pop()
+        return spark.createDataFrame(rows, f"value string, __start boolean, __rank long, {ROW} long")
+
+    return _csv(spark, _records(spark, lines("\n"), lambda: lines(r"\r\n|\n|\r")), delimiter, header, infer)
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], **_) -> DataFrame:
@@ -194,7 +210,13 @@ def write(df: DataFrame, fmt: str, path: str, delimiter: str = ",", header: bool
     """As files of one folder, each task its own."""
     plain = df.select(*[quoted(c) for c in df.columns if not c.startswith("__")])
     if fmt == "csv":
-        texts(df).write.mode(mode).option("header", header).option("sep", delimiter).option("escape", '"').option("emptyValue", "").csv(path)
+        lines = csv_lines(df, delimiter)
+        head = delimiter.join(_cell(n, delimiter) for n in plain.columns)
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its task, and so of its file
+        with_head = F.when(first, F.concat(F.lit(head + "\n"), "value")).otherwise(F.col("value")).alias("value")
+        (lines.select(with_head) if header else lines).write.mode(mode).option("maxRecordsPerFile", 0).text(path)
+        if header and df.sparkSession.read.text(path).isEmpty():  # no rows
+            df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite" if mode == "overwrite" else "append").text(path)
     elif fmt == "jsonl":
         plain.write.mode(mode).option("ignoreNullFields", False).json(path)
     elif fmt == "text":
@@ -205,6 +227,21 @@ def write(df: DataFrame, fmt: str, path: str, delimiter: str = ",", header: bool
         raise ValueError(f"no such format: {fmt}")
 
 
+def _cell(v: str, delimiter: str) -> str:
+    return '"' + v.replace('"', '""') + '"' if any(x in v for x in (delimiter, '"', "\r", "\n")) or (v and min(v[0], v[-1]) <= " ") else v
+
+
+def csv_lines(df: DataFrame, delimiter: str) -> DataFrame:
+    """`value`: rows as CSV. Quotes stand around a field that holds a delimiter, a quote or a break, or has white space or a control character at an end, which readers would trim."""
+
+    def cell(c: Column) -> Column:
+        quote = c.contains(F.lit(delimiter)) | c.rlike(r'["\r\n]|\A[\x00-\x20]|[\x00-\x20]\z')
+        return F.coalesce(F.when(quote, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c), F.lit(""))
+
+    cells = texts(df)
+    return cells.select(F.concat_ws(delimiter, *[cell(quoted(n)) for n in cells.columns]).alias("value"))
+
+
 def text_lines(df: DataFrame) -> DataFrame:
     """`_line`, or the text columns joined by tabs, other columns blank."""
     if "_line" in df.columns:
@@ -234,7 +271,7 @@ def render(df: DataFrame, fmt: str, delimiter: str = ",", header: bool = True, m
             out.write(line(r))
     else:
         def line(cells) -> str:
-            return delimiter.join('"' + v.replace('"', '""') + '"' if any(x in v for x in (delimiter, '"', "\r", "\n")) else v for v in cells) + "\n"
+            return delimiter.join(_cell(v, delimiter) for v in cells) + "\n"
 
         if header:
             out.write(line(names))
