@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import quoted
 from ..functions.text import as_text, general
 from .base import Context, OpError, kinds, number, op, size_of, visible
-from .sequence import searched
 
 
 @op("group-agg", "group_agg", required=("aggs",))
@@ -64,54 +66,76 @@ def samples(df: DataFrame, cols: list[str], n: int = 10) -> DataFrame:
 QUANTILE_BYTES = 64 << 20
 
 
-def quantiles(df: DataFrame, values: dict[str, Column], shares: list[float], block: int = 1_000_000) -> dict[str, dict[float, float | None]]:
+def quantiles(df: DataFrame, values: dict[str, Column], shares: list[float], block: int = 1_000_000, sampled: int = 400_000) -> dict[str, dict[float, float | None]]:
     """Exact quantiles (linear between neighbours) of each value, with no task that holds a whole column.
 
-    Values are counted in ranges of about `block` rows (64 to 4,096 ranges) cut at a sample; a range that holds a quantile is then counted value by value and sorted up to the rank.
+    Each rank asked for is enclosed by values of a sample, and the rows below and at these are counted: either it is such a value, or it lies strictly between two of them, and
+    only rows there are looked at from then on. When they are `block` at most, they are counted value by value and sorted up to the rank. Samples only say where to look.
     """
     xs = list(values)
-    d = df.select(*[v.alias(x) for x, v in values.items()])
-    n = d.count()
-    ranges = min(4096, max(64, n // block))
-    rows = d.sample(min(1.0, 32 * ranges / max(1, n)), seed=17).collect()  # about 32 rows a range
-    cuts = {}
-    for x in xs:
-        got = sorted(r[x] for r in rows if r[x] is not None and r[x] == r[x])
-        cuts[x] = sorted({got[k * len(got) // ranges] for k in range(1, ranges)}) if got else [0.0]
-    place = {x: F.when(F.col(x).isNotNull(), searched(lambda c, x=x: c <= F.col(x), F.array(*[F.lit(float(c)) for c in cuts[x]]), len(cuts[x]))) for x in xs}
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), place[x].alias("p")) for i, x in enumerate(xs)])
-    held: dict[int, list] = {}
-    for r in d.select(F.explode(pairs).alias("s")).select("s.i", "s.p").where("p is not null").groupBy("i", "p").count().orderBy("i", "p").collect():
-        held.setdefault(r.i, []).append((r.p, r["count"]))
-    want: dict[tuple[int, int], list[int]] = {}
+    d = df.select(*[F.nanvl(v, F.lit(None)).alias(x) for x, v in values.items()])
+    # of NaN, which comes last, only the number matters
+    sizes = df.agg(*[F.struct(F.count(v).alias("n"), F.count_if(v.isNotNull() & ~F.isnan(v)).alias("some")) for v in values.values()]).first()
     at: dict[tuple[int, float], tuple[int, float]] = {}
-    for i in range(len(xs)):
-        total = sum(c for _, c in held.get(i, []))
-        for q in shares:
-            if total:
-                pos = q * (total - 1)
-                at[i, q] = int(pos), pos - int(pos)
-                for rank in {int(pos), min(int(pos) + 1, total - 1)}:
-                    before = 0
-                    for p, c in held[i]:
-                        if rank < before + c:
-                            want.setdefault((i, p), []).append((rank, rank - before))
-                            break
-                        before += c
     found: dict[tuple[int, int], float] = {}
-    if want:
-        keys = [F.when(F.array_contains(F.array(*[F.lit(p) for j, p in want if j == i]), place[x]), F.struct(F.lit(i).alias("i"), place[x].alias("p"), F.col(x).alias("x"))) for i, x in enumerate(xs) if any(j == i for j, _ in want)]
-        each = d.select(F.explode(F.array(*keys)).alias("s")).where("s is not null").select("s.*").groupBy("i", "p", "x").count()
-        upto = F.sum("count").over(Window.partitionBy("i", "p").orderBy("x"))
-        each = each.withColumn("to", upto)
-        hit = F.lit(False)
-        for (i, p), ranks in want.items():
-            for _, k in ranks:
-                hit = hit | ((F.col("i") == i) & (F.col("p") == p) & (F.col("to") > k) & (F.col("to") - F.col("count") <= k))
-        for r in each.where(hit).collect():
-            for rank, k in want[r.i, r.p]:
-                if r.to - r["count"] <= k < r.to:
-                    found[r.i, rank] = r.x
+    #: By (column, rank): the values on both sides that are out, rows up to the lower one, rows between.
+    left: dict[tuple[int, int], tuple] = {}
+    for i, s in enumerate(sizes):
+        for q in shares if s.n else ():
+            pos = q * (s.n - 1)
+            at[i, q] = int(pos), pos - int(pos)
+            for rank in {int(pos), min(int(pos) + 1, s.n - 1)}:
+                if rank < s.some:
+                    left[i, rank] = None, None, 0, s.some
+                else:
+                    found[i, rank] = float("nan")
+
+    def between(i: int, low: float | None, high: float | None) -> Column:
+        x = F.col(f"`{xs[i]}`")
+        return (x.isNotNull() if low is None else x > F.lit(low)) & (F.lit(True) if high is None else x < F.lit(high))
+
+    def within(keys: list) -> tuple[DataFrame, Column]:
+        """Rows between the bounds of any of these (column, rank), and for a row (number, value) where it is between those of one."""
+        inside = [between(k[0], *left[k][:2]) for k in keys]
+        pairs = [F.when(hit, F.struct(F.lit(j).alias("j"), F.col(f"`{xs[k[0]]}`").alias("x"))) for j, (k, hit) in enumerate(zip(keys, inside))]
+        return d.where(reduce(lambda a, b: a | b, inside)), F.array_compact(F.array(*pairs))
+
+    while large := [k for k in left if left[k][3] > block]:
+        m = max(1000, sampled // len(large))
+        rows, pairs = within(large)
+        seen: dict[int, list[float]] = {}
+        part = min(1.0, m / max(left[k][3] for k in large))
+        for r in (rows.sample(part, seed=17) if part < 1 else rows).select(F.explode(pairs).alias("s")).select("s.*").collect():
+            seen.setdefault(r.j, []).append(r.x)
+        cuts: dict[tuple[int, int], list[float]] = {}
+        for j, k in enumerate(large):
+            if got := sorted(seen.get(j, [])):
+                where = (k[1] - left[k][2]) / left[k][3] * len(got)
+                off = 4 * math.sqrt(len(got)) / 2 + 1
+                cuts[k] = sorted({got[min(len(got) - 1, max(0, int(p)))] for p in (where - off, where, where + off)})
+        counts = [F.struct(F.count_if(between(k[0], left[k][0], c)).alias("less"), F.count_if(F.col(f"`{xs[k[0]]}`") == F.lit(c)).alias("same")) for k, cs in cuts.items() for c in cs]
+        told = iter(rows.agg(*counts).first() if counts else ())
+        for k, cs in cuts.items():
+            low, high, before, size = left.pop(k)
+            end, first = before + size, before
+            for c, r in [(c, next(told)) for c in cs]:
+                if k[1] < first + r.less:
+                    high, end = c, first + r.less
+                    break
+                if k[1] < first + r.less + r.same:
+                    found[k] = c
+                    break
+                low, before = c, first + r.less + r.same
+            if k not in found:
+                left[k] = low, high, before, end - before
+    if left:
+        keys = list(left)
+        rows, pairs = within(keys)
+        each = rows.select(F.explode(pairs).alias("s")).select("s.*").groupBy("j", "x").count()
+        each = each.withColumn("to", F.sum("count").over(Window.partitionBy("j").orderBy("x")))
+        rank = F.element_at(F.array(*[F.lit(k[1] - left[k][2]) for k in keys]), F.col("j") + 1)
+        for r in each.where((F.col("to") > rank) & (F.col("to") - F.col("count") <= rank)).collect():
+            found[keys[r.j]] = r.x
     out: dict[str, dict[float, float | None]] = {}
     for i, x in enumerate(xs):
         out[x] = {}
@@ -130,7 +154,7 @@ def stats(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     """One row per column with the chosen measures in a fixed order; texts have count, distinct and sample only.
 
     Quantiles are exact, or approximate with approx=true; distinct is approximate unless exact=true. All columns are
-    measured in one aggregate. Beside it, hist needs the bounds first, quantiles of inputs above QUANTILE_BYTES take two passes over the columns, and sample one: its
+    measured in one aggregate. Beside it, hist needs the bounds first, quantiles of inputs above QUANTILE_BYTES take a few passes over the columns, and sample one: its
     texts are the ten of smallest MD5.
     """
     want = [m for m in MEASURES if m in (args.get("stats") or args.get("columns") or DEFAULT)] or list(DEFAULT)
