@@ -12,6 +12,7 @@ from ..functions.expr import kind_of, quoted
 from ..functions.text import as_text
 from ..sources.files import read_csv, read_parquet
 from .base import Context, OpError, kinds, need, number, op, visible
+from .sequence import dense_index, sort_key
 
 
 def categories(ctx: Context, df: DataFrame, column: str, what: str) -> list[str]:
@@ -34,6 +35,10 @@ def pivot(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
     text = as_text(quoted(name), kinds(df)[name]).cast("string")
     x = F.coalesce(number(df, value, "pivot"), F.lit(0.0)) if kind in ("int", "float", "date", "timestamp") else F.lit(0.0)
     order = {c for c, _ in ctx.order}
+    first = sort_key(ctx, df) if ctx.order and agg == "first" else None
+    if ctx.order and agg == "first" and first is None:
+        df = dense_index(ctx, df, "__place")
+        first = F.max_by, F.min_by, F.col("__place")
     rest = [c for c in visible(df) if c not in (name, value) and (c not in order or args.get("keep_order_key"))]
 
     def cell(v):
@@ -41,7 +46,7 @@ def pivot(ctx: Context, df: DataFrame, args: dict) -> DataFrame:
         if agg == "count":
             return F.nullif(F.count(hit), F.lit(0))
         if agg == "first":
-            return F.min_by(hit, F.when(text == v, ctx.key())) if ctx.order else F.first(hit, True)
+            return first[1](hit, F.when(text == v, first[2])) if first else F.first(hit, True)
         return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[agg](hit)
 
     if agg not in ("first", "sum", "count", "avg", "min", "max"):
